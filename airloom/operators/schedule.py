@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.functions.timing import week_second
-from airloom.operators.slices import SLICE, require
+from airloom.operators.slices import SLICE, earlier_slices, require
 
 MINUTES_PER_DAY = 1440
 MINUTES_PER_WEEK = 7 * MINUTES_PER_DAY
@@ -62,30 +62,29 @@ def _islands(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _across_slices(islands: DataFrame, keys: Sequence[str]) -> DataFrame:
-    slices = Window.partitionBy(*keys).orderBy(SLICE)
-    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
+    """Join up the islands of neighbouring slices.
 
-    # How far the earlier slices reach into each slice.
-    reach = (
+    The islands of a slice that start within the reach of earlier slices come first in it, and
+    all continue the island that was opened last before the slice.
+    """
+    earlier = earlier_slices(keys)
+
+    def opens(start: str) -> Column:
+        return F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
+
+    carried = (
         islands.groupBy(*keys, SLICE)
-        .agg(F.max("_end").alias("_reach"))
-        .select(*keys, SLICE, F.max("_reach").over(earlier).alias("_reach"))
-    )
-    reached = islands.join(reach, [*keys, SLICE], "left").withColumn(
-        "_covered", F.coalesce(F.col("_start") <= F.col("_reach"), F.lit(False))
+        .agg(F.max("_start").alias("_last"), F.max("_end").alias("_until"))
+        .withColumn("_reach", F.max("_until").over(earlier))
+        .withColumn("_head", F.max(F.when(opens("_last"), F.col("_last"))).over(earlier))
+        .drop("_last", "_until")
     )
-    # Covered pieces are the first ones of a slice. They continue the last island opened in an
-    # earlier slice, and one row per slice is enough to say which and how far.
-    per_slice = reached.groupBy(*keys, SLICE).agg(
-        F.max(F.when(~F.col("_covered"), F.col("_start"))).alias("_last"),
-        F.max(F.when(F.col("_covered"), F.col("_end"))).alias("_until"),
-    )
-    continued = per_slice.select(
-        *keys, F.max("_last").over(earlier).alias("_start"), F.col("_until").alias("_end")
-    ).where(F.col("_end").isNotNull())
-    opened = reached.where(~F.col("_covered")).select(*keys, "_start", "_end")
+    head = F.when(opens("_start"), F.col("_start")).otherwise(F.col("_head"))
     return (
-        opened.unionByName(continued).groupBy(*keys, "_start").agg(F.max("_end").alias("_end"))
+        islands.join(carried, [*keys, SLICE], "left")
+        .groupBy(*keys, head.alias("_island"))
+        .agg(F.max("_end").alias("_end"))
+        .withColumnRenamed("_island", "_start")
     )
 
 

@@ -162,13 +162,17 @@ def linked_programs(
     pages = (
         require(links, content_id, ord)
         .select(content_id, program_id, ord)
+        .distinct()
         .join(programs, program_id)
-        .groupBy(content_id, F.floor((F.col(ord) - 1) / F.lit(page_size)).alias("page"))
-        .agg(F.sort_array(F.collect_set(entry)).alias("programs"))
+        .withColumn("page", F.floor((F.col(ord) - 1) / F.lit(page_size)).cast("int"))
+        # Collecting cannot shrink anything before the shuffle, so the plain rows are moved.
+        .repartition(content_id, "page")
+        .groupBy(content_id, "page")
+        .agg(F.sort_array(F.collect_list(entry)).alias("programs"))
     )
     return content.join(pages, content_id, "left").withColumns(
         {
-            "page": F.coalesce(F.col("page").cast("int"), F.lit(0)),
+            "page": F.coalesce("page", F.lit(0)),
             "programs": F.coalesce("programs", F.array()),
         }
     )

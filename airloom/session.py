@@ -19,6 +19,7 @@ def build_session(
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update({key: str(value) for key, value in conf.items()})
