@@ -62,8 +62,8 @@ def drilldown(
     """Totals per parent and per child in one result, told apart by ``level``.
 
     ``aggs`` maps a name to ``(function, column)`` with sum, count, min or max. These combine,
-    so the rows are aggregated once, by child, and only the result is rolled up: a rollup of
-    the rows would shuffle a second copy of them.
+    so the rows are aggregated and shuffled once, by child, and the parents are made of that
+    result: a rollup of the rows would shuffle a second copy of them.
     """
     for function, _ in aggs.values():
         if function not in _COMBINE:
@@ -71,10 +71,12 @@ def drilldown(
     children = df.groupBy(parent, child).agg(
         *(getattr(F, how)(column).alias(name) for name, (how, column) in aggs.items())
     )
-    levels = [[F.col(parent), F.col(child)], [F.col(parent)]]
-    rolled = children.groupingSets(levels, F.col(parent), F.col(child)).agg(
-        *(_COMBINE[how](name).alias(name) for name, (how, _) in aggs.items()),
-        F.grouping(child).alias("_is_parent"),
+    parents = children.groupBy(parent).agg(
+        *(_COMBINE[how](name).alias(name) for name, (how, _) in aggs.items())
+    )
+    columns = ["level", parent, child, *aggs]
+    return (
+        parents.withColumns({"level": F.lit(parent), child: F.lit(None)})
+        .select(columns)
+        .unionByName(children.withColumn("level", F.lit(child)).select(columns))
     )
-    level = F.when(F.col("_is_parent") == 1, F.lit(parent)).otherwise(F.lit(child))
-    return rolled.select(level.alias("level"), parent, child, *aggs)

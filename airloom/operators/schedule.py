@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.functions.timing import week_second
-from airloom.operators.slices import SLICE, earlier_slices, require
+from airloom.operators.slices import (
+    SLICE,
+    earlier_slices,
+    join_carry,
+    require,
+    slice_totals,
+)
+from airloom.operators.skew import SALT, on_every_salt, spread_out
 
 MINUTES_PER_DAY = 1440
 MINUTES_PER_WEEK = 7 * MINUTES_PER_DAY
@@ -72,16 +79,16 @@ def _across_slices(islands: DataFrame, keys: Sequence[str]) -> DataFrame:
     def opens(start: str) -> Column:
         return F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
 
-    carried = (
-        islands.groupBy(*keys, SLICE)
-        .agg(F.max("_start").alias("_last"), F.max("_end").alias("_until"))
+    totals = {"_last": F.max("_start"), "_until": F.max("_end")}
+    carry = (
+        slice_totals(islands, keys, totals)
         .withColumn("_reach", F.max("_until").over(earlier))
         .withColumn("_head", F.max(F.when(opens("_last"), F.col("_last"))).over(earlier))
         .drop("_last", "_until")
     )
     head = F.when(opens("_start"), F.col("_start")).otherwise(F.col("_head"))
     return (
-        islands.join(carried, [*keys, SLICE], "left")
+        join_carry(islands, carry, keys)
         .groupBy(*keys, head.alias("_island"))
         .agg(F.max("_end").alias("_end"))
         .withColumnRenamed("_island", "_start")
@@ -122,16 +129,20 @@ def events_in_schedule(events: DataFrame, slots: DataFrame, key: str, ts: str) -
     """Every event, with ``in_schedule``: whether it falls into an enabled slot of its key.
 
     Slots are merged first, so an event meets one interval at most and is never repeated. The
-    join is on the key, with the minutes as residual; a key with very many events is split by
-    adaptive execution, which nothing here prevents.
+    join is on key and salt, with the minutes as residual.
     """
-    intervals = weekly_intervals(slots, key)
+    intervals = on_every_salt(weekly_intervals(slots, key))
     moment = week_second(F.col(ts))
     inside = (moment >= F.col("i.start_m") * 60) & (moment < F.col("i.end_m") * 60)
+    same = (F.col(f"e.{key}") == F.col(f"i.{key}")) & (F.col(f"e.{SALT}") == F.col(f"i.{SALT}"))
     return (
-        events.alias("e")
-        .join(intervals.alias("i"), (F.col(f"e.{key}") == F.col(f"i.{key}")) & inside, "left")
-        .select("e.*", F.col("i.start_m").isNotNull().alias("in_schedule"))
+        spread_out(events, [ts])
+        .alias("e")
+        .join(intervals.alias("i"), same & inside, "left")
+        .select(
+            *(F.col(f"e.{name}") for name in events.columns),
+            F.col("i.start_m").isNotNull().alias("in_schedule"),
+        )
     )
 
 

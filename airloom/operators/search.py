@@ -74,11 +74,11 @@ def status_tab_counts(df: DataFrame, status: str, all_label: str = "all") -> Dat
     ``tab`` is ``all`` for the total and ``status`` elsewhere, so that rows without a status
     are not taken for the total.
     """
-    counted = df.rollup(status).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping(status).alias("_total")
-    )
-    return counted.select(
+    # Counted per status first, so that only these few rows are rolled up.
+    counts = df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+    tabs = counts.rollup(status).agg(F.sum("n").alias("n"), F.grouping(status).alias("_total"))
+    return tabs.select(
         F.when(F.col("_total") == 1, F.lit(all_label)).otherwise(F.lit("status")).alias("tab"),
         status,
-        "n",
+        F.coalesce("n", F.lit(0)).alias("n"),
     )

@@ -38,24 +38,22 @@ def slice_order(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(SLICE)
 
 
-def join_carry(
-    rows: DataFrame,
-    keys: Sequence[str],
-    totals: Mapping[str, Column],
-    carry: Mapping[str, Column],
+def slice_totals(
+    rows: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]
 ) -> DataFrame:
-    """Add the ``carry`` columns to every row.
-
-    ``totals`` are aggregates per slice; ``carry`` are window expressions over them. Rows must
-    have the slice number in ``_slice``, and no NULL in keys or slice.
-    """
-    per_slice = rows.groupBy(*keys, SLICE).agg(
+    """One row per key and slice. Rows must have the slice number in ``_slice``."""
+    return rows.groupBy(*keys, SLICE).agg(
         *(expression.alias(name) for name, expression in totals.items())
     )
-    carried = per_slice.select(
-        *keys, SLICE, *(expression.alias(name) for name, expression in carry.items())
-    )
-    return rows.join(carried, [*keys, SLICE], "left")
+
+
+def join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add what was brought along to the rows of each slice.
+
+    Call it after the windows of step 1: the rows are then partitioned and sorted as the join
+    needs them. There must be no NULL in keys or slice.
+    """
+    return rows.join(carry, [*keys, SLICE], "left")
 
 
 def require(df: DataFrame, *names: str) -> DataFrame:

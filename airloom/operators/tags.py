@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from airloom.functions.tags import tag_set, tag_subsets
 from airloom.operators.ranking import ranking_by_group
+from airloom.operators.skew import salted_join
 from airloom.operators.slices import require
 
 
@@ -46,11 +47,10 @@ def tag_pool(
     lookup = counts.join(firsts, "_subset")
 
     profile_sets = profiles.select(profile, tag_set(F.col(tags)).alias("_set"))
-    wanted = (
-        profile_sets.select("_set").distinct().select("_set", subsets)
-        .join(lookup, "_subset")
-        .withColumn("_shared", F.size("_subset"))
-    )
+    probes = profile_sets.select("_set").distinct().select("_set", subsets)
+    wanted = salted_join(probes, lookup, "_subset", ["_set"]).withColumn(
+        "_shared", F.size("_subset")
+    )
     # Inclusion and exclusion: odd subsets count up, even ones down.
     sign = F.when(F.col("_shared") % 2 == 1, 1).otherwise(-1)
     pools = wanted.groupBy("_set").agg(F.sum(sign * F.col("_n")).alias("pool_size"))
@@ -66,7 +66,7 @@ def tag_pool(
     )
     matches = pools.join(best, "_set")
     return (
-        profile_sets.join(matches, "_set", "left")
+        salted_join(profile_sets, matches, "_set", [profile], "left")
         .select(
             profile,
             F.coalesce("pool_size", F.lit(0)).cast("bigint").alias("pool_size"),
@@ -110,14 +110,13 @@ def related_items(
 
     shared = F.size("_subset")
     similarity = shared / (F.col("_own") + F.col("_size") - shared)
+    probes = sets.select("_set").distinct().select("_set", size.alias("_own"), subsets)
     candidates = (
-        sets.select("_set").distinct()
-        .select("_set", size.alias("_own"), subsets)
-        .join(lookup, "_subset")
+        salted_join(probes, lookup, "_subset", ["_set"])
         .groupBy("_set", "_item")
         .agg(F.max(similarity).alias("similarity"))
         .where(F.col("similarity") >= min_sim)
-    )
+    )
     order = [F.col("similarity").desc(), F.col("_item").asc()]
     best = (
         ranking_by_group(candidates, "_set", order, m + 1)
@@ -126,8 +125,7 @@ def related_items(
     )
     others = F.filter("_best", lambda other: other["_item"] != F.col("_self"))
     return (
-        sets.withColumnRenamed("_item", "_self")
-        .join(best, "_set")
+        salted_join(sets.withColumnRenamed("_item", "_self"), best, "_set", ["_self"])
         .select(F.col("_self"), F.posexplode(F.slice(others, 1, m)).alias("_place", "_other"))
         .select(
             F.col("_self").alias(item),
@@ -152,30 +150,32 @@ def linked_programs(
     ``(*content, page, programs)``; the array holds structs of ``ord``, ``program_id`` and the
     other columns of ``programs``. ``ord`` is the position of a link in its content item,
     from 1. Positions beyond ``page_size`` continue on further pages, a row each, so that no
-    array grows with the number of links; an item without any has an empty page 0. Repeated
-    links count once and links to unknown programmes are left out.
+    array grows with the number of links. Page 0 is always there, if need be empty. Repeated
+    links count once; links of unknown content or to unknown programmes are left out.
     """
     if page_size < 1:
         raise ValueError("a page has at least one position")
     details = [name for name in programs.columns if name != program_id]
-    entry = F.struct(ord, program_id, *details)
-    pages = (
+    page = F.floor((F.col(ord) - 1) / F.lit(page_size)).cast("int")
+    entries = (
         require(links, content_id, ord)
         .select(content_id, program_id, ord)
         .distinct()
         .join(programs, program_id)
-        .withColumn("page", F.floor((F.col(ord) - 1) / F.lit(page_size)).cast("int"))
+        .select(
+            content_id, page.alias("page"), F.struct(ord, program_id, *details).alias("_entry")
+        )
+    )
+    first_pages = content.select(content_id, F.lit(0).alias("page"))
+    pages = (
+        entries.unionByName(first_pages, allowMissingColumns=True)
         # Collecting cannot shrink anything before the shuffle, so the plain rows are moved.
         .repartition(content_id, "page")
         .groupBy(content_id, "page")
-        .agg(F.sort_array(F.collect_list(entry)).alias("programs"))
-    )
-    return content.join(pages, content_id, "left").withColumns(
-        {
-            "page": F.coalesce("page", F.lit(0)),
-            "programs": F.coalesce("programs", F.array()),
-        }
+        .agg(F.sort_array(F.collect_list("_entry")).alias("programs"))
     )
+    # An inner join, so that the pages of one item may be split over several tasks.
+    return content.join(pages, content_id)
 
 
 def expand_batch(targets: DataFrame, k: int | Column) -> DataFrame:

@@ -22,8 +22,10 @@ from airloom.operators.slices import (
     join_carry,
     require,
     slice_order,
+    slice_totals,
     within_slice,
 )
+from airloom.operators.skew import salted_join
 
 SOON_SECONDS = 3600
 
@@ -60,7 +62,6 @@ def shared_capacity_check(
     ``priority`` is a level (few values); ``key`` is a whole number, and ``slice_width`` keys
     of one level are summed in one task. Rows lacking pool, priority or key are left out.
     """
-    usable = supply.groupBy(pool).agg(F.count_distinct(item).alias("usable"))
     # Level and key range together: their order is the order of the rows.
     rows = require(demand, pool, priority, key).withColumn(
         SLICE,
@@ -69,24 +70,29 @@ def shared_capacity_check(
             F.floor(F.col(key) / F.lit(slice_width)).alias("range"),
         ),
     )
-    carried = join_carry(
-        rows,
-        [pool],
-        {"_need": F.sum(need)},
-        {"_before": F.sum("_need").over(earlier_slices([pool]))},
-    )
     inside = within_slice([pool], [priority, key]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    running = F.coalesce("_before", F.lit(0)) + F.sum(need).over(inside)
-    checked = (
-        carried.withColumn("running_need", running)
+    # The pool's items go with the slices as well, so the rows are not shuffled by pool.
+    usable = supply.groupBy(pool).agg(F.count_distinct(item).alias("usable"))
+    carry = (
+        slice_totals(rows, [pool], {"_need": F.sum(need)})
+        .withColumn("_before", F.sum("_need").over(earlier_slices([pool])))
         .join(usable, pool, "left")
-        .withColumn("usable", F.coalesce("usable", F.lit(0)))
+        .select(
+            pool,
+            SLICE,
+            F.coalesce("_before", F.lit(0)).alias("_before"),
+            F.coalesce("usable", F.lit(0)).alias("usable"),
+        )
+    )
+    checked = (
+        join_carry(rows.withColumn("_running", F.sum(need).over(inside)), carry, [pool])
+        .withColumn("running_need", F.col("_before") + F.col("_running"))
         .withColumn("fits", F.col("running_need") <= F.col("usable"))
     )
     first = ~F.col("fits") & (F.col("running_need") - F.col(need) <= F.col("usable"))
-    return checked.withColumn("overflows", first & (F.col(need) > 0)).drop(SLICE, "_before")
+    return checked.withColumn("overflows", first).drop(SLICE, "_before", "_running")
 
 
 def source_readiness(
@@ -142,15 +148,14 @@ def queue_position(
     if done is not None:
         waiting = waiting.where(~F.coalesce(F.col(done), F.lit(False)))
     rows = waiting.withColumn(SLICE, time_slice(df, queued_at, slice_minutes))
-    carried = join_carry(
-        rows,
-        [queue],
-        {"_n": F.count(F.lit(1))},
-        {"_before": F.sum("_n").over(earlier_slices([queue]))},
+    carry = slice_totals(rows, [queue], {"_n": F.count(F.lit(1))}).select(
+        queue, SLICE, F.sum("_n").over(earlier_slices([queue])).alias("_before")
     )
     place = F.row_number().over(within_slice([queue], [queued_at, key]))
-    return carried.withColumn("position", F.coalesce("_before", F.lit(0)) + place).drop(
-        SLICE, "_before"
+    return (
+        join_carry(rows.withColumn("_place", place), carry, [queue])
+        .withColumn("position", F.coalesce("_before", F.lit(0)) + F.col("_place"))
+        .drop(SLICE, "_before", "_place")
     )
 
 
@@ -224,26 +229,32 @@ def status_history(
     """
     rows = require(events, key, ts).withColumn(SLICE, time_slice(events, ts, slice_minutes))
     order = slice_order([key])
-    carried = join_carry(
-        rows,
-        [key],
-        {
-            "_first_ts": F.min(ts),
-            "_last": F.max(F.struct(ts, event_id, F.col(status).alias("status"))),
-        },
-        {
-            "_prev": F.lag("_last.status").over(order),
-            "_next": F.lead("_first_ts").over(order),
-        },
+    newest = F.max(F.struct(ts, event_id, F.col(status).alias("status")))
+    carry = slice_totals(rows, [key], {"_first_ts": F.min(ts), "_newest": newest}).select(
+        key,
+        SLICE,
+        F.lag("_newest.status").over(order).alias("_before"),
+        F.lead("_first_ts").over(order).alias("_after"),
     )
     inside = within_slice([key], [ts, event_id])
-    first = F.row_number().over(inside) == 1
-    previous = F.when(first, F.col("_prev")).otherwise(F.lag(status).over(inside))
-    following = F.coalesce(F.lead(ts).over(inside), F.col("_next"))
+    linked = rows.withColumns(
+        {
+            "_place": F.row_number().over(inside),
+            "prev_status": F.lag(status).over(inside),
+            "next_ts": F.lead(ts).over(inside),
+        }
+    )
+    first = F.col("_place") == 1
     return (
-        carried.withColumns({"prev_status": previous, "next_ts": following})
+        join_carry(linked, carry, [key])
+        .withColumns(
+            {
+                "prev_status": F.when(first, F.col("_before")).otherwise(F.col("prev_status")),
+                "next_ts": F.coalesce("next_ts", "_after"),
+            }
+        )
         .withColumn("dwell_s", seconds_between(F.col(ts), F.col("next_ts")).cast("double"))
-        .drop(SLICE, "_prev", "_next")
+        .drop(SLICE, "_place", "_before", "_after")
     )
 
 
@@ -259,7 +270,10 @@ def checklist_complete(
     ``checks`` has a row per ticked check; repeated and unknown ones do not count.
     """
     wanted = required.select(check).distinct()
-    marked = checks.join(wanted.withColumn("_wanted", F.lit(True)), check, "left")
+    # Few different checks share all the rows.
+    marked = salted_join(
+        checks.select(item, check), wanted.withColumn("_wanted", F.lit(True)), check, [item], "left"
+    )
     ticked = (
         marked.groupBy(item)
         .agg(F.count_distinct(F.when(F.col("_wanted"), F.col(check))).alias("checked"))

@@ -242,13 +242,15 @@ SELECT item_id, row_number() OVER (
 FROM pairs WHERE similarity >= 0.4 QUALIFY rank <= 5
 """,
     "linked_programs": """
-WITH linked AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, p_name
-                FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT o_orderkey AS content_id,
-       CAST(coalesce((l_linenumber - 1) // 4, 0) AS BIGINT) AS page,
+WITH linked AS (SELECT DISTINCT l_orderkey, (l_linenumber - 1) // 4 AS page, l_linenumber,
+                       l_partkey, p_name
+                FROM lineitem JOIN part ON l_partkey = p_partkey),
+     pages AS (SELECT o_orderkey, 0 AS page FROM orders
+               UNION SELECT l_orderkey, page FROM linked JOIN orders ON l_orderkey = o_orderkey)
+SELECT o_orderkey AS content_id, CAST(pages.page AS BIGINT) AS page,
        coalesce(string_agg(l_linenumber || ':' || l_partkey || ':' || p_name, ', '
                            ORDER BY l_linenumber, l_partkey), '') AS programs
-FROM orders LEFT JOIN linked ON l_orderkey = o_orderkey
+FROM pages LEFT JOIN linked ON l_orderkey = o_orderkey AND linked.page = pages.page
 GROUP BY 1, 2
 """,
     "expand_batch": """

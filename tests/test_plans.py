@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from airloom import operators as ops
 from airloom.plans import standins as std
 from airloom.plans.queries import QUERIES
 
@@ -14,10 +16,6 @@ FOLDER = "/root/testdata/sf0.001"
 STREAMING = {"live_counts", "live_dedup", "live_status"}
 BATCH = sorted(set(queries()) - STREAMING)
 
-# Windows that are partitioned by nothing, or by a key alone, are allowed on these: the groups
-# there have a row per stage, day, rank or slice, or were cut to n rows per task before.
-SMALL_GROUPS = {"_stage", "_slice", "stage", "day", "metric"}
-
 
 def plan(spark, name):
     text = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
@@ -90,7 +88,7 @@ def test_rows_are_windowed_within_slices(spark, no_broadcast, name):
     lines = plan(spark, name).splitlines()
     by_key = []
     for index, line in enumerate(lines):
-        found = re.search(r"Window \[.*\], \[([^\]]*)\](, \[[^\]]*\])?$", line)
+        found = re.search(r"Window \[.* AS \w+\], \[([^\]]*)\]", line)
         if found and "_slice" not in found.group(1):
             depth = len(line) - len(line.lstrip(" :+-"))
             below = []
@@ -111,20 +109,106 @@ def test_funnel_shuffles_rows_once_and_slices_once(spark):
     assert exchanges == ["SinglePartition", "hashpartitioning", "hashpartitioning"]
 
 
-def test_drilldown_shuffles_rows_once(spark):
-    """The rows are aggregated by child first; only the result is expanded to levels."""
-    text = plan(spark, "drilldown")
-    assert text.index("Expand") < text.rindex("HashAggregate") < text.index("FileScan")
-
-
-def test_merging_reads_and_shuffles_its_input_once(spark, no_broadcast):
-    df = QUERIES["merge_intervals"](spark, FOLDER)
+@pytest.mark.parametrize("name", ["merge_intervals", "drilldown"])
+def test_input_is_read_and_shuffled_once(spark, no_broadcast, name):
+    df = QUERIES[name](spark, FOLDER)
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in final
     assert final.count("FileScan") == 1
 
 
+@pytest.mark.parametrize("name", ["status_history", "queue_position", "shared_capacity_check"])
+def test_windowed_rows_are_sorted_once(spark, no_broadcast, name):
+    """The join that brings the carry adds no exchange or sort above the window."""
+    text = plan(spark, name)
+    below_join = text[text.index("SortMergeJoin [") :]
+    first = re.search(r"(Window|Exchange|Sort) \[?", below_join.split("\n", 1)[1])
+    assert first.group(1) == "Window"
+
+
+@pytest.fixture
+def eager_skew_handling(spark, no_broadcast):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+def final_plan(df):
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def spread(spark, df, folder):
+    """The same rows as many files, as a skewed partition is split between map tasks."""
+    df.repartition(16).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def test_a_hot_creator_is_spread_in_the_schedule_join(spark, eager_skew_handling, tmp_path):
+    creator = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500)
+    start = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+    events = spread(
+        spark,
+        spark.range(6000).select(
+            "id",
+            creator.alias("blogger_id"),
+            (start + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("ts"),
+        ),
+        str(tmp_path / "events"),
+    )
+    slots = std.weekly_slots(spark, FOLDER)
+    marked = ops.events_in_schedule(events, slots, "blogger_id", "ts")
+    tasks = marked.where("blogger_id = 0").select(F.spark_partition_id().alias("task"))
+    sizes = [row["count"] for row in tasks.groupBy("task").count().collect()]
+    assert sum(sizes) > 2000
+    assert max(sizes) <= 1000
+
+
+@pytest.mark.parametrize(
+    ("name", "key", "joins"),
+    [
+        ("events_in_schedule", "blogger_id", 1),
+        ("checklist_complete", "category", 1),
+        ("tag_pool", "_set", 1),
+        ("tag_pool", "_subset", 2),
+        ("related_items", "_set", 1),
+        ("related_items", "_subset", 1),
+    ],
+)
+def test_hot_keys_are_salted(spark, no_broadcast, name, key, joins):
+    found = re.findall(rf"SortMergeJoin \[{key}, _salt\], \[{key}, _salt\]", plan(spark, name))
+    assert len(found) == joins
+    shuffled = re.findall(rf"Exchange hashpartitioning\({key}, _salt, ", plan(spark, name))
+    assert len(shuffled) == 2 * joins
+
+
+def test_the_pages_of_a_hot_item_are_split(spark, eager_skew_handling, tmp_path):
+    item = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500)
+    links = spread(
+        spark,
+        spark.range(9000).select(
+            item.alias("content_id"), (F.col("id") % 20).alias("program_id"), (F.col("id") + 1).alias("ord")
+        ),
+        str(tmp_path / "links"),
+    )
+    content = spark.range(500).withColumnRenamed("id", "content_id")
+    programs = spark.range(20).withColumnRenamed("id", "program_id")
+    linked = ops.linked_programs(content, links, programs, page_size=5)
+    rows, final = final_plan(linked)
+    assert sum(len(row.programs) for row in rows) == 9000
+    assert max(len(row.programs) for row in rows) <= 5
+    assert "skew=true" in final
+
+
 def test_results_do_not_depend_on_the_session_time_zone(spark):
     names = ["ordered_funnel", "status_history", "events_in_schedule", "current_status",
              "merge_intervals", "new_entities", "queue_position", "live_counts"]

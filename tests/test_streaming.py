@@ -55,7 +55,8 @@ def test_counts_leave_late_rows_and_open_windows_out(spark, feed, tmp_path):
     ]
 
 
-def test_replays_are_dropped_within_the_watermark(spark, feed, tmp_path):
+@pytest.mark.parametrize("salts", [1, 8])
+def test_replays_are_dropped_within_the_watermark(spark, feed, tmp_path, salts):
     stream = feed(
         [(1, "2024-01-01 10:00:00", 1, "a"), (1, "2024-01-01 10:00:00", 1, "a")],
         [(1, "2024-01-01 10:00:00", 1, "a"), (2, "2024-01-01 10:01:00", 1, "b")],
@@ -63,7 +64,7 @@ def test_replays_are_dropped_within_the_watermark(spark, feed, tmp_path):
         [(3, "2024-01-01 12:00:00", 1, "c"), (4, "2024-01-01 12:00:01", 1, "d")],
         [(1, "2024-01-01 12:30:00", 1, "again")],  # long after: a new event of that id
     )
-    once = collect(spark, live_dedup(stream, "event_id", "ts", "10 minutes"), tmp_path)
+    once = collect(spark, live_dedup(stream, "event_id", "ts", "10 minutes", salts), tmp_path)
     assert rows_of(once.select("event_id", "status")) == [
         (1, "a"),
         (1, "again"),
@@ -73,6 +74,14 @@ def test_replays_are_dropped_within_the_watermark(spark, feed, tmp_path):
     ]
 
 
+def test_many_copies_of_one_event_are_thinned_out(spark, feed, tmp_path):
+    copies = [(1, "2024-01-01 10:00:00", 1, "a")] * 300
+    others = [(n, "2024-01-01 10:00:00", 1, "b") for n in range(2, 100)]
+    once = collect(spark, live_dedup(feed(copies + others, copies), "event_id", "ts", "1 hour"),
+                   tmp_path)
+    assert sorted(row.event_id for row in once.collect()) == list(range(1, 100))
+
+
 def test_status_is_never_overwritten_by_an_older_one(spark, feed, tmp_path):
     stream = feed(
         [(1, "2024-01-01 10:00:00", 1, "a"), (2, "2024-01-01 11:00:00", 2, "x")],
