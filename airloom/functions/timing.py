@@ -48,9 +48,8 @@ def time_slice(df: DataFrame, ts: str, minutes: int) -> Column:
 
 
 def week_second(ts: Column) -> Column:
-    """Seconds since Monday 00:00, with the fraction: 0 <= x < 604800."""
-    whole = F.weekday(ts) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
-    return whole + F.extract(F.lit("SECOND"), ts)
+    """Whole seconds since Monday 00:00, rounded down: 0 to 604799."""
+    return F.weekday(ts) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def as_event_time(df: DataFrame, ts: str) -> Column:

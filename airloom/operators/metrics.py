@@ -11,36 +11,60 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Metric:
-    """One key figure: ``count``, ``distinct`` or ``sum`` of ``column``, where ``when`` holds."""
+    """One key figure: ``count``, ``distinct`` or ``sum`` of ``column``, where ``when`` holds.
+
+    A count without a column counts rows.
+    """
 
     how: str
     column: str | None = None
     when: Column | None = None
 
-    def expression(self, approx: bool = False) -> Column:
-        if self.how == "count" and self.column is None:
-            return F.count(F.lit(1)) if self.when is None else F.count_if(self.when)
-        if self.column is None:
+    def __post_init__(self) -> None:
+        if self.how not in ("count", "distinct", "sum"):
+            raise ValueError(f"unknown metric {self.how!r}; use count, distinct or sum")
+        if self.column is None and self.how != "count":
             raise ValueError(f"metric {self.how!r} needs a column")
-        value = F.col(self.column)
-        if self.when is not None:
-            value = F.when(self.when, value)
-        if self.how == "count":
-            return F.count(value)
+
+    def value(self) -> Column:
+        value = F.lit(1) if self.column is None else F.col(self.column)
+        return value if self.when is None else F.when(self.when, value)
+
+    def whole(self, approx: bool) -> Column:
+        """Over all rows at once."""
         if self.how == "distinct":
-            return F.approx_count_distinct(value) if approx else F.count_distinct(value)
-        if self.how == "sum":
-            return F.sum(value)
-        raise ValueError(f"unknown metric {self.how!r}; use count, distinct or sum")
+            count = F.approx_count_distinct if approx else F.count_distinct
+            return count(self.value())
+        return (F.sum if self.how == "sum" else F.count)(self.value())
+
+    def of_value(self) -> Column:
+        """Over the rows of one distinct value: whether it counts, or the part it adds."""
+        if self.how == "distinct":
+            return F.count(self.value()) > 0
+        return self.whole(approx=False)
+
+    def of_parts(self, part: str) -> Column:
+        """Over the distinct values, from :meth:`of_value`."""
+        if self.how == "distinct":
+            return F.count_if(part)
+        total = F.sum(part)
+        return total if self.how == "sum" else F.coalesce(total, F.lit(0))
 
 
 def kpi_summary(df: DataFrame, metrics: Mapping[str, Metric], approx: bool = False) -> DataFrame:
     """All key figures in one row.
 
-    ``approx`` replaces the exact distinct counts, each of which costs a shuffle of its
-    distinct values, by sketches of fixed size.
+    Distinct counts that share a column, with different conditions or not, are taken from one
+    aggregation by that column; Spark would otherwise copy every row for each of them.
+    ``approx`` replaces them by sketches of fixed size and saves their shuffle.
     """
-    return df.agg(*(metric.expression(approx).alias(name) for name, metric in metrics.items()))
+    columns = {metric.column for metric in metrics.values() if metric.how == "distinct"}
+    if approx or len(columns) != 1:
+        return df.agg(*(m.whole(approx).alias(name) for name, m in metrics.items()))
+    parts = df.groupBy(*columns).agg(
+        *(metric.of_value().alias(f"_{name}") for name, metric in metrics.items())
+    )
+    return parts.agg(*(m.of_parts(f"_{name}").alias(name) for name, m in metrics.items()))
 
 
 def conversion_trend(df: DataFrame, ts: str, kind: str, base: str, conv: str) -> DataFrame:

@@ -179,43 +179,80 @@ def timeline_overlap(
 ) -> DataFrame:
     """Overlapping pairs of two sides: ``(key, id_a, id_b, overlap_start, overlap_end, overlap)``.
 
-    With ``bucket``, both sides are listed under every stretch of that width they touch, and
-    only intervals of one stretch meet; a pair is kept where the later of its two starts lies.
-    About the usual length of an interval is a good width. Without it all intervals of one
-    key meet, which suits keys with few of them. One of the two is needed.
+    The time line is cut into buckets, and only intervals that touch the same bucket (and have
+    the same key, if there is one) are compared; a pair counts in the bucket in which the later
+    of its two starts lies. Empty intervals overlap nothing.
+
+    Without ``bucket``, the bucket width follows the lengths: each interval belongs to the level
+    whose width, a power of 4, is just above its length, and a pair is compared on the level of
+    the longer one. Long and short intervals may then be mixed at will; the levels in use cost
+    a pass over each side. With ``bucket``, all buckets have this width, which is cheaper if
+    all intervals are about that long.
     """
-    if key is None and bucket is None:
-        raise ValueError("a join without a key needs a bucket width")
-
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        columns = [] if key is None else [F.col(key)]
-        rows = df.where(F.col(start) < F.col(end)).select(
-            *columns,
-            F.col(id).alias(f"id_{mark}"),
-            F.col(start).alias(f"_start_{mark}"),
-            F.col(end).alias(f"_end_{mark}"),
-        )
-        if bucket is None:
-            return rows
-        last = F.ceil(F.col(f"_end_{mark}") / F.lit(bucket)) - 1  # the end is not inside
-        touched = F.sequence(_bucket(F.col(f"_start_{mark}"), bucket), last)
-        return rows.withColumn("_bucket", F.explode(touched))
-
-    begin = F.greatest("_start_a", "_start_b")
-    finish = F.least("_end_a", "_end_b")
-    on = ([] if key is None else [key]) + ([] if bucket is None else ["_bucket"])
-    pairs = side(a, "a").join(side(b, "b"), on).where(begin < finish)
+    left, right = (_interval_side(df, mark, key, start, end, id) for df, mark in ((a, "a"), (b, "b")))
     if bucket is not None:
-        pairs = pairs.where(F.col("_bucket") == _bucket(begin, bucket))
-    return pairs.select(
+        one = F.array(F.lit(0))
+        met = _meet(left, right, key, one, one, bucket)
+    else:
+        own_a, own_b = F.array("_level_a"), F.array("_level_b")
+        of_a, of_b = (
+            side.agg(F.collect_set(level)).scalar()
+            for side, level in ((left, "_level_a"), (right, "_level_b"))
+        )
+        # First the pairs in which a is as long as b or longer, then the others.
+        up_to_a = F.filter("_others", lambda level: level >= F.col("_level_b"))
+        beyond_a = F.filter("_others", lambda level: level > F.col("_level_a"))
+        met = _meet(left, right.withColumn("_others", of_a), key, own_a, up_to_a).unionByName(
+            _meet(left.withColumn("_others", of_b), right, key, beyond_a, own_b)
+        )
+    return met.select(
         *([] if key is None else [key]),
         "id_a",
         "id_b",
-        begin.alias("overlap_start"),
-        finish.alias("overlap_end"),
-        (finish - begin).alias("overlap"),
+        F.col("_begin").alias("overlap_start"),
+        F.col("_finish").alias("overlap_end"),
+        (F.col("_finish") - F.col("_begin")).alias("overlap"),
+    )
+
+
+def _interval_side(
+    df: DataFrame, mark: str, key: str | None, start: str, end: str, id: str
+) -> DataFrame:
+    return df.where(F.col(start) < F.col(end)).select(
+        *([] if key is None else [key]),
+        F.col(id).alias(f"id_{mark}"),
+        F.col(start).alias(f"_start_{mark}"),
+        F.col(end).alias(f"_end_{mark}"),
+        F.ceil(F.log2(F.col(end) - F.col(start)) / 2).cast("int").alias(f"_level_{mark}"),
     )
 
 
-def _bucket(position: Column, width: float) -> Column:
-    return F.floor(position / F.lit(width))
+def _meet(
+    left: DataFrame,
+    right: DataFrame,
+    key: str | None,
+    levels_a: Column,
+    levels_b: Column,
+    bucket: float | None = None,
+) -> DataFrame:
+    """Pairs that touch a bucket of a common level, once each."""
+    width = F.pow(F.lit(4.0), F.col("_level")) if bucket is None else F.lit(float(bucket))
+
+    def place(side: DataFrame, mark: str, levels: Column) -> DataFrame:
+        first = F.floor(F.col(f"_start_{mark}") / width)
+        last = F.ceil(F.col(f"_end_{mark}") / width) - 1  # the end itself is outside
+        return (
+            side.withColumn("_level", F.explode(levels))
+            .withColumn("_bucket", F.explode(F.sequence(first, last)))
+            .drop(f"_level_{mark}", "_others")
+        )
+
+    on = [*([] if key is None else [key]), "_level", "_bucket"]
+    return (
+        place(left, "a", levels_a)
+        .join(place(right, "b", levels_b), on)
+        .withColumn("_begin", F.greatest("_start_a", "_start_b"))
+        .withColumn("_finish", F.least("_end_a", "_end_b"))
+        .where(F.col("_begin") < F.col("_finish"))
+        .where(F.col("_bucket") == F.floor(F.col("_begin") / width))
+    )

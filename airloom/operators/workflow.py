@@ -191,7 +191,8 @@ def current_status(
     state = F.when(F.col("status").isin(*pending), "review").otherwise("ready")
     if slots is None:
         return latest.withColumn("state", state)
-    now = week_second(moment)
+    # With the fraction of the second, for a slot that starts in exactly an hour.
+    now = week_second(moment) + F.extract(F.lit("SECOND"), moment) - F.second(moment)
     start, end = F.col("start_m") * 60, F.col("end_m") * 60
     until = F.pmod(start - now, F.lit(MINUTES_PER_WEEK * 60))
     at_moment = (

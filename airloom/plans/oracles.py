@@ -70,6 +70,16 @@ SELECT user_id AS source_id, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS
 FROM events {where}"""
 
 
+def _overlaps(one: str, other: str) -> str:
+    return f"""
+WITH a AS ({_excerpts(one)}), b AS ({_excerpts(other)})
+SELECT source_id, a.id AS id_a, b.id AS id_b, greatest(a.start_s, b.start_s) AS overlap_start,
+       least(a.end_s, b.end_s) AS overlap_end,
+       least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s) AS overlap
+FROM a JOIN b USING (source_id) WHERE a.start_s < b.end_s AND b.start_s < a.end_s
+"""
+
+
 def _topics(k: int) -> str:
     return f"""
 WITH best AS (
@@ -387,13 +397,8 @@ WITH x AS ({_excerpts()}),
 SELECT source_id, start_s, min(end_s) AS end_s
 FROM starts JOIN ends USING (source_id) WHERE end_s > start_s GROUP BY ALL
 """,
-    "timeline_overlap": f"""
-WITH a AS ({_excerpts("view")}), b AS ({_excerpts("click")})
-SELECT source_id, a.id AS id_a, b.id AS id_b, greatest(a.start_s, b.start_s) AS overlap_start,
-       least(a.end_s, b.end_s) AS overlap_end,
-       least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s) AS overlap
-FROM a JOIN b USING (source_id) WHERE a.start_s < b.end_s AND b.start_s < a.end_s
-""",
+    "timeline_overlap": _overlaps("view", "click"),
+    "timeline_overlap_buckets": _overlaps("view", "signup"),
     "live_counts": f"""
 SELECT strftime(date_trunc('day', ts), {_TIME}) AS window_start,
        strftime(date_trunc('day', ts) + INTERVAL 1 DAY, {_TIME}) AS window_end,

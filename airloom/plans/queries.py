@@ -439,6 +439,15 @@ def timeline_overlap(spark, folder):
         std.excerpts(spark, folder, "view"),
         std.excerpts(spark, folder, "click"),
         "source_id",
+    )
+
+
+@query
+def timeline_overlap_buckets(spark, folder):
+    return ops.timeline_overlap(
+        std.excerpts(spark, folder, "view"),
+        std.excerpts(spark, folder, "signup"),
+        "source_id",
         bucket=3600,
     )
 

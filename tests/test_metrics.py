@@ -104,8 +104,13 @@ def test_kpis_exact_and_approximate(frame):
     }
     assert rows_of(ops.kpi_summary(df, metrics)) == [(4, 3, 3, 2, 2, 13, 13)]
     assert rows_of(ops.kpi_summary(df, metrics, approx=True)) == [(4, 3, 3, 2, 2, 13, 13)]
-    with pytest.raises(ValueError):
-        ops.kpi_summary(df, {"x": ops.Metric("median", "n")})
+    nothing = ops.kpi_summary(df.where("false"), metrics)
+    assert rows_of(nothing) == [(0, 0, 0, 0, 0, None, None)]
+    two_columns = {**metrics, "kinds": ops.Metric("distinct", "kind")}
+    assert rows_of(ops.kpi_summary(df, two_columns)) == [(4, 3, 3, 2, 2, 13, 13, 2)]
+    for bad in (("median", "n"), ("sum", None)):
+        with pytest.raises(ValueError):
+            ops.Metric(*bad)
 
 
 def test_entities_without_facts_get_zeros(frame):

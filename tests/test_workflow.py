@@ -183,7 +183,13 @@ def test_current_status_precedence(frame):
 def test_soon_looks_past_sunday_night(frame):
     events = frame([(1, "2024-01-01 10:00:00", 1, "x")], STATUS.replace("content_id", "blogger_id"))
     slots = frame([(1, 1, 0.5, 2.0, True)], SLOTS)
-    for moment, state in [("2024-01-07 23:40:00", "soon"), ("2024-01-07 23:20:00", "ready")]:
+    for moment, state in [
+        ("2024-01-07 23:40:00", "soon"),
+        ("2024-01-07 23:30:00", "soon"),
+        ("2024-01-07 23:29:59.999999", "ready"),
+        ("2024-01-08 00:29:59.999999", "soon"),
+        ("2024-01-08 00:30:00", "running"),
+    ]:
         found = ops.current_status(events, "blogger_id", "ts", moment, slots=slots)
         assert found.first().state == state
 
