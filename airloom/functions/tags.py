@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def tag_set(tags: Column) -> Column:
     """Distinct tags in order, without NULL; a NULL array counts as no tags."""
     cleaned = F.filter(F.array_distinct(tags), lambda tag: tag.isNotNull())
-    return F.array_sort(F.coalesce(cleaned, F.array().cast("array<string>")))
+    return F.sort_array(F.coalesce(cleaned, F.array().cast("array<string>")))
 
 
 def tag_subsets(tags: Column, max_tags: int, min_size: Column | int = 1) -> Column:

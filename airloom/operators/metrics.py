@@ -104,8 +104,11 @@ def calendar_fill(
         dated = dated.where(F.col(day) >= F.lit(first).cast("date"))
     if last is not None:
         dated = dated.where(F.col(day) <= F.lit(last).cast("date"))
-    start = F.lit(first).cast("date") if first else dated.agg(F.min(day)).scalar()
-    end = F.lit(last).cast("date") if last else dated.agg(F.max(day)).scalar()
+    if first is None or last is None:
+        range_ = dated.agg(F.struct(F.min(day).alias("first"), F.max(day).alias("last"))).scalar()
+        dated = dated.withColumn("_range", range_)
+    start = F.col("_range.first") if first is None else F.lit(first).cast("date")
+    end = F.col("_range.last") if last is None else F.lit(last).cast("date")
 
     order = Window.partitionBy(*series).orderBy(day)
     spans = dated.withColumns(

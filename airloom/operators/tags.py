@@ -51,37 +51,51 @@ def tag_pool(
     wanted = salted_join(probes, lookup, "_subset", ["_set"]).withColumn(
         "_shared", F.size("_subset")
     )
-    # Inclusion and exclusion: odd subsets count up, even ones down.
+    # Inclusion and exclusion: odd subsets count up, even ones down. A set has a bounded number
+    # of subsets with m items each, so the hits of one set fit in a row.
     sign = F.when(F.col("_shared") % 2 == 1, 1).otherwise(-1)
-    pools = wanted.groupBy("_set").agg(F.sum(sign * F.col("_n")).alias("pool_size"))
-    best = (
-        wanted.select("_set", "_shared", F.explode("_items").alias("_item"))
-        .groupBy("_set", "_item")
-        .agg(F.max("_shared").alias("_shared"))
+    hits = F.transform(
+        "_items", lambda found: F.struct((-F.col("_shared")).alias("order"), found.alias("item"))
     )
-    best = (
-        ranking_by_group(best, "_set", [F.col("_shared").desc(), F.col("_item").asc()], m)
+    matches = (
+        wanted.select("_set", (sign * F.col("_n")).alias("_n"), hits.alias("_hits"))
         .groupBy("_set")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "_item", "_shared"))).alias("_best"))
+        .agg(
+            F.sum("_n").alias("pool_size"),
+            F.sort_array(F.flatten(F.collect_list("_hits"))).alias("_hits"),
+        )
+        .select("_set", "pool_size", _first_of_each("_hits", m).alias("_best"))
     )
-    matches = pools.join(best, "_set")
     return (
         salted_join(profile_sets, matches, "_set", [profile], "left")
         .select(
             profile,
             F.coalesce("pool_size", F.lit(0)).cast("bigint").alias("pool_size"),
-            F.explode_outer("_best").alias("_best"),
+            F.posexplode_outer("_best").alias("_place", "_hit"),
         )
         .select(
             profile,
             "pool_size",
-            F.col("_best.rank").alias("rank"),
-            F.col("_best._item").alias(item),
-            F.col("_best._shared").alias("shared"),
+            (F.col("_place") + 1).alias("rank"),
+            F.col("_hit.item").alias(item),
+            (-F.col("_hit.order")).alias("shared"),
         )
     )
 
 
+def _first_of_each(hits: str, m: int) -> Column:
+    """The first ``m`` different items of an array in order: an item found again is left out."""
+    nothing = F.slice(hits, 1, 0)
+    return F.aggregate(
+        hits,
+        nothing,
+        lambda kept, hit: F.when(
+            (F.size(kept) < m) & ~F.exists(kept, lambda other: other["item"] == hit["item"]),
+            F.array_append(kept, hit),
+        ).otherwise(kept),
+    )
+
+
 def related_items(
     items: DataFrame,
     m: int,
