@@ -50,7 +50,7 @@ slots AS (
   SELECT c_custkey AS blogger_id, (c_custkey + i * 2) % 7 + 1 AS dow,
          (c_custkey * 3 + i * 5) % 24 AS start_h, ((c_custkey * 3 + i * 5) % 24 + 6) % 24 AS end_h
   FROM customer, generate_series(0, 3) AS g(i)
-  WHERE (c_custkey + i) % 10 <> 0)
+  WHERE c_acctbal >= 1000 * i)
 """
 
 # Inside a slot, by day and hour; a slot that ends at or before its start reaches into the next
@@ -102,7 +102,7 @@ WHERE {word} EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orde
 
 
 ORACLES: dict[str, str] = {
-    "load_all_tables": " UNION ALL ".join(
+    "load_tables": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS n FROM {name}" for name in _TABLES
     ),
     "search_filter": """
@@ -276,13 +276,13 @@ SELECT blogger_id, needed, coalesce(usable, 0) AS usable, coalesce(usable, 0) >=
        greatest(needed - coalesce(usable, 0), 0) AS short_by
 FROM needed LEFT JOIN usable USING (blogger_id)
 """,
-    "shared_capacity_check": """
+    "shared_capacity_check": f"""
 WITH usable AS (SELECT c_nationkey, count(DISTINCT l_partkey) AS usable
                 FROM orders JOIN customer ON o_custkey = c_custkey
                 JOIN lineitem ON l_orderkey = o_orderkey
                 WHERE o_orderstatus = 'F' GROUP BY ALL),
      demand AS (SELECT c_nationkey, CAST(left(o_orderpriority, 1) AS BIGINT) AS priority,
-                       o_orderkey AS content_id, o_orderkey % 20 AS n
+                       o_orderkey AS content_id, {_cents("o_totalprice")} // 5000000 + 1 AS n
                 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'),
      running AS (SELECT *, CAST(sum(n) OVER (
                    PARTITION BY c_nationkey ORDER BY priority, content_id
@@ -296,8 +296,8 @@ SELECT CAST(c_nationkey AS BIGINT) AS pool, priority, content_id, n, running_nee
          PARTITION BY c_nationkey, fits ORDER BY priority, content_id) = 1 AS overflows
 FROM checked
 """,
-    "sources_ready": _readiness(""),
-    "sources_not_ready": _readiness("NOT"),
+    "source_readiness": _readiness(""),
+    "source_readiness_missing": _readiness("NOT"),
     "batch_progress": """
 WITH items AS (SELECT l_orderkey, l_linestatus = 'F' AS done, l_linenumber, l_returnflag,
                       row_number() OVER (PARTITION BY l_orderkey, l_linestatus

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airloom import operators as ops
+from airloom import sources
 from airloom import streaming as live
 from airloom.plans import standins as std
 from airloom.session import shared_folder
-from airloom.sources import SCHEMAS, load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,8 +56,8 @@ def _daily_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def load_all_tables(spark, folder):
-    tables = load_tables(spark, folder, sorted(SCHEMAS))
+def load_tables(spark, folder):
+    tables = sources.load_tables(spark, folder, sorted(sources.SCHEMAS))
     counts = [
         df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
         for name, df in tables.items()
@@ -316,7 +316,7 @@ def shared_capacity_check(spark, folder):
             "pool",
             F.substring("queue", 1, 1).cast("int").alias("priority"),
             "content_id",
-            (F.col("content_id") % 20).alias("n"),
+            (F.floor(F.col("effect_cents") / 5_000_000) + 1).alias("n"),
         )
     )
     supply = (
@@ -328,13 +328,13 @@ def shared_capacity_check(spark, folder):
 
 
 @query
-def sources_ready(spark, folder):
+def source_readiness(spark, folder):
     published = std.content(spark, folder).where("status = 'P'")
     return ops.source_readiness(std.bloggers(spark, folder), published, "blogger_id")
 
 
 @query
-def sources_not_ready(spark, folder):
+def source_readiness_missing(spark, folder):
     published = std.content(spark, folder).where("status = 'P'")
     return ops.source_readiness(std.bloggers(spark, folder), published, "blogger_id", ready=False)
 
@@ -455,9 +455,21 @@ def timeline_overlap_buckets(spark, folder):
 # Streaming forms, run over what there is
 
 
+def _stream_session(spark: SparkSession) -> SparkSession:
+    """A session of the same cluster with one state partition per core.
+
+    A stream keeps a state store for each shuffle partition, for as long as it lives. The general
+    setting is made for batches and would be far too many, or too few.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    return session
+
+
 def _append(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(spark, name)
-    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
+    parquet = stream.writeStream.outputMode("append").format("parquet")
+    writer = parquet.option("path", f"{folder}/out")
     live.run_to_end(writer, f"{folder}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
@@ -465,14 +477,15 @@ def _append(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 @query
 def live_counts(spark, folder):
     counts = live.live_counts(
-        std.event_stream(spark, folder), "ts", "1 day", "1 hour", ["event_type"]
+        std.event_stream(_stream_session(spark), folder), "ts", "1 day", "1 hour", ["event_type"]
     )
     return _append(spark, counts, "live_counts")
 
 
 @query
 def live_dedup(spark, folder):
-    replayed = std.event_stream(spark, folder).unionByName(std.event_stream(spark, folder))
+    events = std.event_stream(_stream_session(spark), folder)
+    replayed = events.unionByName(events)
     once = live.live_dedup(replayed, "event_id", "ts", "1 hour")
     return _append(spark, once.drop("ts"), "live_dedup")
 
@@ -480,7 +493,7 @@ def live_dedup(spark, folder):
 @query
 def live_status(spark, folder):
     target = shared_folder(spark, "live_status")
-    stream = std.event_stream(spark, folder).withColumnsRenamed(
+    stream = std.event_stream(_stream_session(spark), folder).withColumnsRenamed(
         {"user_id": "content_id", "event_type": "status"}
     )
     writer = live.live_status(stream, "content_id", "ts", f"{target}/log")

@@ -80,19 +80,25 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def weekly_slots(spark: SparkSession, folder: str) -> DataFrame:
-    """Four six-hour slots per creator, some disabled, some past midnight, some overlapping."""
-    number = F.col("blogger_id")
-    index = F.col("slot")
+    """Four six-hour slots per creator, some past midnight, some overlapping.
+
+    The higher a creator's balance, the more of the slots are enabled.
+    """
+    number, index = F.col("blogger_id"), F.col("slot")
     start = (number * 3 + index * 5) % 24
     return (
-        bloggers(spark, folder)
-        .select("blogger_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("slot"))
+        load_table(spark, folder, "customer")
+        .select(
+            F.col("c_custkey").alias("blogger_id"),
+            "c_acctbal",
+            F.explode(F.sequence(F.lit(0), F.lit(3))).alias("slot"),
+        )
         .select(
             "blogger_id",
             ((number + index * 2) % 7 + 1).cast("int").alias("dow"),
             start.cast("double").alias("start_h"),
             ((start + 6) % 24).cast("double").alias("end_h"),
-            ((number + index) % 10 != 0).alias("enabled"),
+            (F.col("c_acctbal") >= 1000 * index).alias("enabled"),
         )
     )
 

@@ -46,7 +46,7 @@ def test_matches_oracle(spark, duck, name):
     assert len(actual) == len(expected)
     different = [pair for pair in zip(actual, expected, strict=True) if pair[0] != pair[1]]
     assert different == [], different[:3]
-    assert actual or name == "sources_not_ready"
+    assert actual or name == "source_readiness_missing"
 
 
 def test_entry_has_a_row_per_stage(spark):

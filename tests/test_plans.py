@@ -54,7 +54,7 @@ def test_scans_read_only_needed_columns(spark, name):
         ("conversion_trend", "In(event_type, [purchase,view])"),
         ("ordered_funnel", "In(event_type, [click,purchase,signup,view])"),
         ("entity_stats", "EqualTo(o_orderstatus,P)"),
-        ("sources_ready", "EqualTo(o_orderstatus,P)"),
+        ("source_readiness", "EqualTo(o_orderstatus,P)"),
         ("return_reasons", "EqualTo(l_returnflag,R)"),
         ("timeline_overlap", "EqualTo(event_type,view)"),
         ("queue_position", "IsNotNull(o_orderpriority)"),
