@@ -73,22 +73,18 @@ def funnel_reach(
     )
 
     # Each step jumps to the first later slice that moves the subject on, at most n times.
+    def state(since: Column, at: Column) -> Column:
+        return F.struct(since.cast("bigint").alias("since"), at.cast("int").alias("at"))
+
     subject = Window.partitionBy(*keys)
-    walk = slices.withColumns({"_at": F.lit(0), "_since": F.lit(None).cast("bigint")})
+    walk = slices.withColumn("_state", state(F.lit(None), F.lit(0)))
+    since, at = F.col("_state.since"), F.col("_state.at")
+    leaving = _pick([f"_to{i}" for i in range(n)], at)
+    moves = (since.isNull() | (F.col(SLICE) > since)) & (leaving > at)
+    jump = F.min(F.when(moves, state(F.col(SLICE), leaving))).over(subject)
     for _ in range(n):
-        leaving = _pick([f"_to{i}" for i in range(n)], F.col("_at"))
-        later = F.col("_since").isNull() | (F.col(SLICE) > F.col("_since"))
-        jump = F.when(
-            later & (leaving > F.col("_at")),
-            F.struct(F.col(SLICE).alias("since"), leaving.alias("at")),
-        )
-        walk = walk.withColumn("_jump", F.min(jump).over(subject)).withColumns(
-            {
-                "_at": F.coalesce(F.col("_jump.at"), F.col("_at")),
-                "_since": F.coalesce(F.col("_jump.since"), F.col("_since")),
-            }
-        )
-    return walk.groupBy(*keys).agg(F.max("_at").alias("reached"))
+        walk = walk.withColumn("_state", F.coalesce(jump, F.col("_state")))
+    return walk.groupBy(*keys).agg(F.max("_state.at").alias("reached"))
 
 
 def ordered_funnel(

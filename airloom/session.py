@@ -20,6 +20,8 @@ def build_session(
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Recording the Python call site of every column costs more than planning does.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update({key: str(value) for key, value in conf.items()})
