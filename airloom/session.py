@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -36,12 +36,11 @@ def build_session(
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` that every executor can reach.
 
-    Only a local master may go without that setting: there, and nowhere else, a folder
-    of this machine is as good as a shared one.
+    A session of one machine may go without that setting and takes its warehouse folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

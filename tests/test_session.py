@@ -10,7 +10,10 @@ from airloom.sources import SCHEMAS, load_table, load_tables
 
 def fake_session(master, root):
     return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda name, default: root or default),
+        conf=SimpleNamespace(
+            get=lambda name, default=None: {"spark.checkpoint.dir": root, "spark.sql.warehouse.dir": "/warehouse/"}[name]
+            or default
+        ),
         sparkContext=SimpleNamespace(master=master),
     )
 
@@ -25,7 +28,7 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(fake_session("yarn", None), "x")
     assert shared_folder(fake_session("yarn", "hdfs:///work/"), "x").startswith("hdfs:///work/x-")
-    assert shared_folder(fake_session("local[2]", None), "x").startswith("/tmp/run-")
+    assert shared_folder(fake_session("local[2]", None), "x").startswith("/warehouse/shared/x-")
 
 
 def test_tables_are_read_with_their_declared_schema(spark):
