@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -15,7 +16,8 @@ from airloom.llm.common import written
 
 WIDTH = 13
 ANCHORS = 3
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANCHORS_AT_ONCE = 1_000_000
+ROWS_AT_ONCE = 20_000
 TERM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -32,7 +34,9 @@ def terms_of(text: Column) -> Column:
 class LeakIndex:
     """``windows``: the excerpts' windows ``(window, length, anchors)``; ``sources``: ``(window,
     source_id)``; ``documents``: ``(content_id, doc, n_words)``, a row per script; ``postings``:
-    ``(term, doc, pos)`` of the anchors. ``doc`` is the script's MD5, so that copies are indexed once.
+    ``(term, doc, pos, context, before)`` of the anchors. ``doc`` is the script's MD5, so that copies
+    are indexed once. ``context`` holds the terms around a place where the term is the rarest of some
+    window, ``before`` of them before it.
     """
 
     windows: DataFrame
@@ -104,48 +108,114 @@ def build_index(
         .select("window", F.size("all").alias("length"), F.slice("all", 1, ANCHORS).alias("anchors")),
         "leak-windows",
     )
+    number = F.col("number")
     anchors = written(
-        ranked.select(F.explode("anchors").alias("a")).select("a.term").distinct(), "leak-anchors"
-    )
-    doc = F.md5(F.coalesce(F.col(script), F.lit("")))
-    n_words = F.coalesce(F.regexp_count(script, F.lit(TERM)), F.lit(0)).cast("bigint")
-    documents = content.select(
-        F.col(content_id).alias("content_id"), doc.alias("doc"), n_words.alias("n_words")
-    )
-    postings = (
-        content.select(doc.alias("doc"), terms_of(F.col(script)).alias("terms"))
-        .select("doc", F.posexplode("terms").alias("pos", "term"))
-        .join(anchors, "term")
-        .distinct()
+        ranked.select(F.posexplode("anchors").alias("number", "a"))
+        .groupBy(F.col("a.term").alias("term"))
+        .agg((F.min(number) == 0).alias("rarest")),
+        "leak-anchors",
     )
+    blocks = -(-anchors.count() // ANCHORS_AT_ONCE)
+    index = None
+    for block in range(max(1, blocks)):
+        part = anchors.where(F.pmod(F.xxhash64("term"), F.lit(max(1, blocks))) == block)
+        places = _scan(content, content_id, script, {r.term: r.rarest for r in part.collect()}, width, not block)
+        index = places if index is None else index.unionByName(places)
+    index = written(index, "leak-index")
     return LeakIndex(
-        ranked, sources, documents, written(postings.select("term", "doc", "pos"), "leak-postings")
+        ranked,
+        sources,
+        index.where(F.col("term").isNull()).select("content_id", "doc", F.col("pos").alias("n_words")),
+        written(
+            index.where(F.col("term").isNotNull())
+            .select("term", "doc", "pos", "context", "before")
+            .distinct(),
+            "leak-postings",
+        ),
     )
 
 
-def phrase_candidates(index: LeakIndex) -> DataFrame:
-    """``(doc, start, window)`` where all anchors of a window stand at their places.
+def _scan(
+    content: DataFrame,
+    content_id: str,
+    script: str,
+    anchors: dict[str, bool],
+    width: int,
+    documents: bool,
+) -> DataFrame:
+    """A row for every place of an anchor and, if wanted, one for each script with its length.
+
+    ``anchors`` are at most about ``ANCHORS_AT_ONCE`` terms, and whether they are rarest in a window.
+    """
+    kind = content.select(content_id).schema[0].dataType
+    known = {term.encode(): rarest for term, rarest in anchors.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for id_, text in zip(batch.column(0), batch.column(1), strict=True):
+                data = text.as_buffer().to_pybytes() if text.is_valid else b""
+                terms = _TERM.findall(data.lower())
+                doc = hashlib.md5(data).hexdigest()
+                if documents:
+                    rows.append((id_.as_py(), None, doc, len(terms), None, None))
+                for pos in [i for i, term in enumerate(terms) if term in known]:
+                    around, before = None, None
+                    if known[terms[pos]]:
+                        before = min(pos, width - 1)
+                        around = b" ".join(terms[pos - before : pos + width])
+                    rows.append((None, terms[pos], doc, pos, around, before))
+                if len(rows) > ROWS_AT_ONCE:
+                    yield batch_of(rows, batch.column(0).type)
+                    rows = []
+            if rows:
+                yield batch_of(rows, batch.column(0).type)
+
+    def batch_of(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
+        text = lambda values: pa.array(values, pa.binary()).cast(pa.string())
+        id_, term, doc, pos, around, before = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(id_, ids), text(term), pa.array(doc), pa.array(pos, pa.int64()),
+                text(around), pa.array(before, pa.int32()),
+            ],
+            ["content_id", "term", "doc", "pos", "context", "before"],
+        )
+
+    return content.select(F.col(content_id), F.col(script).cast("string")).mapInArrow(
+        run,
+        f"content_id {kind.simpleString()}, term string, doc string, pos bigint, context string, "
+        "before int",
+    )
+
+
+def phrase_matches(index: LeakIndex) -> DataFrame:
+    """``(doc, start, length, window)`` for every occurrence of a window in a script.
 
     The places of the rarest anchor, moved back by its offset, are intersected with those of the
-    next rarest, and so on.
+    next rarest, and so on; what is left is compared with the terms around the rarest, word by word.
     """
-    postings, found = index.postings, None
-    for number in range(ANCHORS):
+    kept = ["window", "length", "anchors", "doc", "start", "context", "before"]
+    first = F.get("anchors", F.lit(0))
+    found = (
+        index.windows.withColumn("term", first["term"])
+        .join(index.postings, "term")
+        .withColumn("start", F.col("pos") - first["offset"])
+        .where(F.col("start") >= 0)
+        .select(*kept)
+    )
+    places = index.postings.select("term", "doc", "pos")
+    for number in range(1, ANCHORS):
         anchor = F.get("anchors", F.lit(number))
-        if found is None:
-            probes = index.windows.withColumn("term", anchor["term"])
-            joined = probes.join(postings, "term")
-            start = F.col("pos") - anchor["offset"]
-            found = joined.withColumn("start", start).where(F.col("start") >= 0)
-        else:
-            wanted = found.where(F.size("anchors") > number).select(
-                "window", "length", "anchors", "doc", "start",
-                anchor["term"].alias("term"), (F.col("start") + anchor["offset"]).alias("pos"),
-            )
-            done = found.where(F.size("anchors") <= number)
-            found = wanted.join(postings, ["term", "doc", "pos"]).select(done.columns).unionByName(done)
-        found = found.select("window", "length", "anchors", "doc", "start")
-    return found.select("doc", "start", "window", "length")
+        wanted = found.where(F.size("anchors") > number).withColumns(
+            {"term": anchor["term"], "pos": F.col("start") + anchor["offset"]}
+        )
+        met = wanted.join(places, ["term", "doc", "pos"]).select(*kept)
+        found = met.unionByName(found.where(F.size("anchors") <= number))
+    at = F.col("before") - first["offset"] + 1
+    there = F.concat_ws(" ", F.slice(F.split("context", " "), at, F.col("length")))
+    # A start before the context's would be one before the script's.
+    return found.where((at >= 1) & (there == F.col("window"))).select("doc", "start", "length", "window")
 
 
 def proximity_matches(index: LeakIndex, slop: int) -> DataFrame:
@@ -193,37 +263,13 @@ def leaked_excerpts(
     shorter one, all of it), ``source_ids`` are the excerpts found, as text in order, and a script is
     ``leaked`` if at least a twentieth of its words are hit. ``doc`` is the MD5 of the script.
 
-    Candidates come from :func:`phrase_candidates` and are compared word by word with the script.
-    Only scripts with a candidate are read again. NULL and empty scripts have no words, and NULL or
+    The scripts are read twice, to count terms and to store the places of anchors, and never
+    shuffled. NULL and empty scripts have no words, and NULL or
     empty excerpts no windows; an excerpt without an id is hit, but not named. Rows with equal
     ids are counted each for itself. Other columns are left out.
     """
     index = build_index(content, excerpts, content_id, script, source_id, excerpt, width)
-    candidates = written(phrase_candidates(index), "leak-candidates")
-    # No longer than the places in one script at which three anchors stand as in a window.
-    spots = written(
-        candidates.groupBy("doc").agg(
-            F.collect_list(F.struct("start", "length", "window")).alias("spots")
-        ),
-        "leak-spots",
-    )
-    texts = (
-        content.select(
-            F.md5(F.coalesce(F.col(script), F.lit(""))).alias("doc"), F.col(script).alias("text")
-        )
-        .join(spots.select("doc"), "doc", "left_semi")
-        .groupBy("doc")
-        .agg(F.min("text").alias("text"))
-    )
-    compared = texts.join(spots, "doc").select("doc", "spots", terms_of(F.col("text")).alias("terms"))
-    exact = F.filter(
-        "spots",
-        lambda spot: F.concat_ws(" ", F.slice("terms", spot["start"] + 1, spot["length"]))
-        == spot["window"],
-    )
-    matches = written(
-        compared.select("doc", F.explode(exact).alias("m")).select("doc", "m.*"), "leak-matches"
-    )
+    matches = written(phrase_matches(index).distinct(), "leak-matches")
     words = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))
     hits = (
         matches.select("doc", words.alias("pos"))
