@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from airloom.llm.licences import MARKS, RULES, SENTENCES
+
 _KEY = "CAST('0x' || substr(md5(concat_ws(':', '{seed}', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 15) AS BIGINT)"
 _BIN = "(({0} >> greatest(length(bin({0})) - 6, 0)) << greatest(length(bin({0})) - 6, 0))"
 
@@ -131,6 +133,47 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hits USING (id) LEFT JOIN named USING (id)
 """
 
+def _licence_sql() -> str:
+    known = ", ".join(f"('{sentence}', '{name}')" for sentence, name in SENTENCES.items())
+    steps, left = [], "r"
+    for number, (licence, parts) in enumerate(RULES):
+        sequence = "".join(f"|{part}|" for part in parts)
+        steps.append(
+            f"s{number} AS (SELECT * EXCLUDE ({left}, f), replace({left}, '{sequence}', '#') AS r, "
+            f"CASE WHEN contains({left}, '{sequence}') THEN list_append(f, '{licence}') ELSE f END AS f "
+            f"FROM {'sequences' if not number else f's{number - 1}'})"
+        )
+    # RE2 has no look-behind: an end mark is set after each sentence instead.
+    return f"""
+WITH known(sentence, name) AS (VALUES {known}),
+docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+cuts AS (
+  SELECT id, way, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (
+    SELECT id, way, string_split_regex(regexp_replace(
+      CASE way WHEN 1 THEN replace(t, chr(10), chr(1)) ELSE regexp_replace(t, '\\n[\\x20\\t\\r]*\\n', chr(1), 'g') END,
+      '([.;:!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts
+    FROM docs, (VALUES (1), (2)) w(way) WHERE regexp_matches(t, '{MARKS}'))
+),
+named AS (
+  SELECT id, way, i, name FROM cuts JOIN known
+    ON sentence = trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))
+),
+sequences AS (
+  SELECT id, way, count(*) AS n, string_agg(name, ',' ORDER BY i) AS sentences,
+    '|' || string_agg(name, '||' ORDER BY i) || '|' AS r, CAST([] AS VARCHAR[]) AS f
+  FROM named GROUP BY id, way
+),
+{", ".join(steps)},
+best AS (
+  SELECT id, arg_max(sentences, n * 2 - way) AS sentences,
+    array_to_string(list_sort(list_distinct(flatten(list(f)))), ',') AS licences
+  FROM s{len(RULES) - 1} GROUP BY id
+)
+SELECT doc_id, coalesce(sentences, '') AS sentences, coalesce(licences, '') AS licences
+FROM docs LEFT JOIN best USING (id)
+"""
+
+
 _OP9 = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -172,5 +215,6 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": _OP1,
     "op3_stratified_shards": _OP3,
     "op4_decontamination": _OP4,
+    "op6_licence_scan": _licence_sql(),
     "op9_mix_sources": _OP9,
 }

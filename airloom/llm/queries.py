@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airloom.llm import records
+from airloom.llm.archives import page_of, read_archives, write_archives
+from airloom.llm.languages import fit_languages, script_languages
 from airloom.llm.leaks import leaked_excerpts
+from airloom.llm.licences import licence_scan
 from airloom.llm.mixing import mix_bloggers
+from airloom.llm.paragraphs import repeated_paragraphs
 from airloom.llm.quality import quality_rules
 from airloom.llm.sharding import stratified_shards
 from airloom.llm.simhash import as_hex, near_duplicates
 from airloom.llm.votes import fit_votes, quality_votes
+from airloom.session import shared_folder
+from airloom.sources import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +69,56 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    archives = shared_folder(spark, "archives")
+    write_archives(load_table(spark, folder, "pages"), archives)
+    return (
+        read_archives(spark, archives)
+        .where("gap IS NULL")
+        .select(
+            page_of(F.col("record_id")).alias("page_id"),
+            "payload_bytes",
+            "payload_digest",
+            "record_type",
+            page_of(F.col("refers_to")).alias("refers_to"),
+        )
+    )
+
+
+def op6_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licence_scan(records.scripts(spark, folder)).select(
+        F.col("content_id").alias("doc_id"),
+        F.concat_ws(",", "sentences").alias("sentences"),
+        F.concat_ws(",", "licences").alias("licences"),
+    )
+
+
+def op7_repeated_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_paragraphs(records.scripts(spark, folder)).select(
+        F.col("content_id").alias("doc_id"),
+        "paragraph",
+        "start",
+        "n_words",
+        F.col("class_content_id").alias("class_doc_id"),
+        "class_paragraph",
+        "n_paragraphs",
+        "removed",
+    )
+
+
+def op8_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    content = records.scripts(spark, folder)
+    held_out = records.fold_of(F.col("content_id"), 4) == 2
+    model = fit_languages(content.where(~held_out))
+    return script_languages(content, model).select(
+        F.col("content_id").alias("doc_id"),
+        held_out.alias("held_out"),
+        F.col("language").alias("lang_pred"),
+        F.col("share").alias("score"),
+        F.concat_ws(",", "languages").alias("langs"),
+    )
+
+
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_bloggers(records.scripts(spark, folder)).select(
         F.col("content_id").alias("doc_id"),
@@ -90,6 +146,10 @@ QUERIES: dict[str, Query] = {
     "op2_simhash_groups": op2_simhash_groups,
     "op3_stratified_shards": op3_stratified_shards,
     "op4_decontamination": op4_decontamination,
+    "op5_warc_salvage": op5_warc_salvage,
+    "op6_licence_scan": op6_licence_scan,
+    "op7_repeated_paragraphs": op7_repeated_paragraphs,
+    "op8_language_mixture": op8_language_mixture,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_votes": op10_quality_votes,
 }
