@@ -1,0 +1,370 @@
+"""Corpus operators on content scripts: brute force, round trips, held-out accuracy, odd rows."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import itertools
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from airloom.llm import archives, languages, leaks, mixing, paragraphs, quality, sharding, votes
+from airloom.llm.licences import MARKS, SENTENCES, licence_scan
+from airloom.llm.queries import QUERIES
+
+FOLDER = "/root/testdata/sf0.01"
+SCRIPTS = "content_id long, script string, language string, blogger string"
+
+
+def words(rng, n, size=400):
+    return [f"w{rng.randrange(size)}" for _ in range(n)]
+
+
+# Quality rules
+
+
+def test_limits_follow_language_and_blogger(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(900):
+        group = i % 3
+        text = words(rng, 80)
+        if group == 0:  # a blogger whose scripts all have some symbols
+            text = [w + "#" if k % 4 == 0 else w for k, w in enumerate(text)]
+        if i >= 891:  # far more than is usual for any group
+            text = [w + "$$$$" for w in text]
+        rows.append((i, " ".join(text), "en", f"b{group}"))
+    found = {r.content_id: r for r in quality.quality_rules(spark.createDataFrame(rows, SCRIPTS)).collect()}
+    assert all(found[i].kept for i in range(891))
+    assert not any(found[i].kept for i in range(891, 900))
+
+
+def test_sketches_merge_exactly_and_bins_are_narrow(spark):
+    values = [*range(300), 10**6, 10**9 + 7]
+    bins = spark.createDataFrame([(v,) for v in values], "v long").select(
+        "v", quality.sketch_bin(F.col("v")).alias("b")
+    )
+    assert all(r.b <= r.v <= r.b * (1 + 1 / 32) for r in bins.collect())
+
+
+# Shards
+
+
+def test_every_shard_has_the_mixture(spark):
+    rows = [(i, f"text {i}", "en", "hot" if i % 3 else f"b{i % 7}") for i in range(2000)]
+    found = sharding.stratified_shards(spark.createDataFrame(rows, SCRIPTS), 8).collect()
+    assert sorted((r.shard, r.slot) for r in found) == [(s, k) for s in range(8) for k in range(250)]
+    total = {}
+    for r in found:
+        total.setdefault(r.blogger, [0] * 8)[r.shard] += 1
+    for counts in total.values():
+        assert all(abs(n - sum(counts) / 8) <= 1 for n in counts)
+
+
+# Mixing
+
+
+def test_mixture_is_near_its_targets_and_draws_are_dealt_exactly(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(words(rng, rng.randrange(1, 40))), "en", "abcd"[min(3, i % 7)]) for i in range(3000)]
+    content = spark.createDataFrame(rows, SCRIPTS).withColumn("mix", F.lit("old"))
+    found = mixing.mix_bloggers(content, shards=5)
+    assert found.columns == [*content.columns]
+    rows = found.collect()
+    for name in "abcd":
+        own = [r.mix for r in rows if r.blogger == name]
+        assert abs(sum(m.taken for m in own) - own[0].target) <= 40
+        assert sum(m.size for m in own) == own[0].source_size
+    assert all(m.taken == m.size * m.copies and len(m.draws) == m.copies <= 3 for m in (r.mix for r in rows))
+    shares = [0] * 5
+    for r in rows:
+        for draw in r.mix.draws:
+            shares[draw.shard] += r.mix.size
+    assert max(shares) < 1.3 * min(shares)
+    again = {r.content_id: r.mix for r in mixing.mix_bloggers(content.repartition(7), shards=5).collect()}
+    assert again == {r.content_id: r.mix for r in rows}
+
+
+def test_targets_stop_at_three_times_the_source(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 200), (None, 0)], "blogger string, source_size long")
+    found = {r.blogger: r.target for r in mixing.mixture_targets(sizes).collect()}
+    assert found["a"] == 30 and found[None] == 0 and found["c"] <= 600
+    assert sum(found.values()) == pytest.approx(1210)
+    assert found["b"] / 2 == pytest.approx(found["c"] / 1) or found["c"] == 600
+
+
+def test_splits_are_exact_quotas(spark):
+    draws = spark.createDataFrame(
+        [(s, 1, b) for s, n in (("x", 50), ("y", 31)) for b in range(n)], "stratum string, copy int, block long"
+    )
+    counts = mixing.split_draws(draws, 8, "seed").groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in counts) == [10] * 7 + [11]
+
+
+# Leaks
+
+
+def test_proximity_finds_scattered_words(spark):
+    item = " ".join(f"x{i}" for i in range(13))
+    loose = item.replace("x5", "and x5").replace("x9", "oh x9")
+    content = spark.createDataFrame([(1, item), (2, loose), (3, "x0 far away")], "content_id long, script string")
+    excerpts = spark.createDataFrame([(7, item)], "source_id long, excerpt string")
+    index = leaks.build_index(content, excerpts, "content_id", "script", "source_id", "excerpt")
+    docs = {r.doc: r.content_id for r in index.documents.collect()}
+    near = {docs[r.doc] for r in leaks.proximity_matches(index, 3).collect()}
+    exact = {docs[r.doc] for r in leaks.phrase_matches(index).collect()}
+    assert exact == {1} and near == {1, 2}
+
+
+def test_anchors_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, 60, 80)) for _ in range(30)]
+    content = spark.createDataFrame(list(enumerate(texts)), "content_id long, script string")
+    excerpts = spark.createDataFrame([(i, " ".join(t.split()[10:30])) for i, t in enumerate(texts[:10])], "source_id long, excerpt string")
+    whole = sorted(map(str, leaks.leaked_excerpts(content, excerpts).collect()))
+    monkeypatch.setattr(leaks, "ANCHORS_AT_ONCE", 5)
+    assert sorted(map(str, leaks.leaked_excerpts(content, excerpts).collect())) == whole
+    assert leaks.without_leaks(content, excerpts).count() == 20
+
+
+# Archives
+
+
+def pages(spark):
+    return spark.createDataFrame(
+        [(5, "http://a/x y", "same"), (3, "http://b/", "same"), (9, None, ""), (4, "http://c", None),
+         (None, "http://d", "same"), (7, "http://é", "é\r\n\r\nWARC/1.1\r\nWARC-Type: fake\r\n\r\n"), (8, "u", "long " * 300_000)],
+        "page_id long, url string, html string",
+    )
+
+
+def test_round_trip(spark, tmp_path):
+    archives.write_archives(pages(spark), f"{tmp_path}/w", records_per_file=2)
+    rows = archives.read_archives(spark, f"{tmp_path}/w").collect()
+    assert all(r.gap is None for r in rows)
+    found = {archives_id(r.record_id): (r.record_type, r.payload_bytes, r.payload, archives_id(r.refers_to)) for r in rows}
+    assert found[3] == ("response", 4, b"same", None)
+    assert found[5] == ("revisit", 4, None, 3) and found[None] == ("revisit", 4, None, 3)
+    assert found[4] == ("response", 0, b"", None) and found[9] == ("revisit", 0, None, 4)
+    assert found[7][2].decode().startswith("é\r\n") and found[8][1] == 1_500_000
+    empty = base64.b32encode(hashlib.sha1(b"").digest()).decode()
+    assert {r.payload_digest for r in rows if r.payload_bytes == 0} == {empty}
+
+
+def archives_id(name):
+    found = (name or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(found) if found.isdigit() else None
+
+
+def one_record(number, size=200):
+    payload = bytes(f"page {number} ", "ascii") * size
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{number}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("pack", [b"".join, archives.compressed])
+@pytest.mark.parametrize("damage", ["flip", "cut", "length", "noise", "none"])
+def test_later_records_are_recovered(pack, damage):
+    parts = [pack([one_record(i)]) for i in range(6)]
+    broken = bytearray(parts[2])
+    if damage == "flip":
+        broken[-60] ^= 0xFF
+    elif damage == "cut":
+        broken = broken[: len(broken) // 2]
+    elif damage == "length":
+        broken = bytearray(pack([one_record(2).replace(b"Content-Length: ", b"Content-Length: 9")]))
+    elif damage == "noise":
+        broken = broken + b"\x1f\x8b\x08noise WARC/1.1\r\n"
+    data = b"".join([*parts[:2], bytes(broken), *parts[3:]])
+    found = list(archives.salvage(data))
+    ids = [archives_id(r.headers["warc-record-id"]) for _, _, gap, r in found if gap is None]
+    assert [i for i in ids if i != 2] == [0, 1, 3, 4, 5]
+    assert (2 in ids) == (damage in ("noise", "none"))
+    assert sum(gap is not None for _, _, gap, _ in found) == (damage != "none")
+    ends = list(itertools.accumulate(length for _, length, _, _ in found))
+    assert [at for at, *_ in found] == [0, *ends[:-1]] and ends[-1] == len(data)
+
+
+def test_damaged_archives_in_spark(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(archives.compressed([one_record(1), one_record(2)]) + b"tail")
+    (tmp_path / "b.warc").write_bytes(b"")
+    (tmp_path / "c.warc").write_bytes(b"nothing of use")
+    rows = archives.read_archives(spark, str(tmp_path)).orderBy("archive", "offset").collect()
+    assert [(r.record_type, r.gap is None, r.length) for r in rows][2:] == [(None, False, 4), (None, False, 14)]
+    assert len(rows) == 4
+
+
+def test_query_reads_back_every_page(spark):
+    found = {r.page_id: r for r in QUERIES["op5_warc_salvage"](spark, "/root/testdata/sf0.001").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    assert len(found) == len(rows)
+    for row in rows:
+        data = row.html.encode()
+        assert found[row.page_id].payload_bytes == len(data)
+        assert found[row.page_id].payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+# Licences
+
+
+def test_known_sentences_are_normalised_and_marked():
+    import re
+
+    for sentence in SENTENCES:
+        assert re.search(MARKS, sentence) and re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", sentence)
+
+
+def test_rules_need_their_order(spark):
+    by_name = {}
+    for sentence, name in SENTENCES.items():
+        by_name.setdefault(name, sentence)
+    mit = [by_name[n] for n in ("mit-grant", "mit-condition", "mit-disclaimer", "mit-liability")]
+    bsd = [by_name[n] for n in ("bsd-grant", "bsd-source", "bsd-binary")]
+    rows = [
+        (1, ". ".join(mit) + "."), (2, ". ".join(mit[::-1]) + "."),
+        (3, ".\n".join([*bsd, by_name["bsd-endorse"]]) + "."), (4, ". ".join(bsd) + "."),
+        (5, "// " + mit[0].replace(" to ", "\n// to ") + "."), (6, None), (7, ""), (8, "x. " * 100_000 + "MIT License"),
+    ]
+    found = {r.content_id: r for r in licence_scan(spark.createDataFrame(rows, "content_id long, script string")).collect()}
+    assert [found[i].licences for i in range(1, 9)] == [
+        ["MIT"], [], ["BSD-3-Clause"], ["BSD-2-Clause"], [], [], [], [],
+    ]
+    assert found[5].sentences == ["mit-grant"] and found[8].sentences == ["mit-title"]
+
+
+# Paragraphs
+
+
+def plain_classes(rows, similarity=0.8, min_words=20):
+    """Pair by pair: the class of each paragraph as its first place."""
+    items = []
+    for id_, text in rows:
+        for number, line in enumerate((text or "").split("\n")):
+            found = line.lower().split()
+            if len(found) >= min_words:
+                width = min(5, len(found))
+                items.append(((id_, number), {tuple(found[i : i + width]) for i in range(len(found) - width + 1)}))
+    parent = list(range(len(items)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(items)), 2):
+        a, b = items[i][1], items[j][1]
+        if len(a & b) >= similarity * len(a | b):
+            parent[find(i)] = find(j)
+    groups = {}
+    for i, (place, _) in enumerate(items):
+        groups.setdefault(find(i), []).append(place)
+    return {p: min(g) for g in groups.values() if len(g) > 1 for p in g}
+
+
+@pytest.mark.parametrize("paired", [3, 64])
+def test_paragraph_classes_equal_brute_force(spark, paired):
+    rng = random.Random(paired)
+    rows, texts = [], []
+    for _ in range(6):
+        base = words(rng, 60)
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(60)] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    # Two templates that share most words, yet too few for the threshold.
+    common = words(rng, 50)
+    texts += [" ".join([*common, *(f"fill{k}-{i}" for i in range(8))]) for k in range(12)]
+    rng.shuffle(texts)
+    for i in range(0, len(texts), 3):
+        rows.append((i, "\n".join([*texts[i : i + 3], "too short a line"])))
+    rows += [(1000, None), (1001, ""), (1002, " ".join(words(rng, 50_000)))]
+    content = spark.createDataFrame(rows, "content_id long, script string").withColumn("key", F.lit(1))
+    found = paragraphs.repeated_paragraphs(content, paired=paired)
+    got = {(r.content_id, r.paragraph): (r.class_content_id, r.class_paragraph) for r in found.collect()}
+    assert got == plain_classes(rows)
+    removed = {(r.content_id, r.paragraph) for r in found.where("removed").collect()}
+    assert removed == {place for place, first in got.items() if place != first}
+    cleaned = {r.content_id: r.script for r in paragraphs.without_repeats(content, found).collect()}
+    for id_, text in rows:
+        lines = (text or "").split("\n")
+        kept = "\n".join(line for i, line in enumerate(lines) if (id_, i) not in removed)
+        assert cleaned[id_] == (kept if text is not None else None)
+
+
+def test_bands_are_tuned_for_recall():
+    rows = paragraphs.band_rows(0.8, 64, 0.999)
+    assert rows == 4 and 1 - (1 - 0.8**rows) ** (64 // rows) >= 0.999
+    assert paragraphs.band_rows(0.01, 64, 0.999) == 1
+
+
+# Languages
+
+
+def test_held_out_languages(spark):
+    found = QUERIES["op8_language_mixture"](spark, FOLDER)
+    truth = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang")
+    rows = found.join(truth, "doc_id").where("held_out").collect()
+    assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_mixtures_and_odd_scripts(spark):
+    known = [("the cat and the dog walk home with them", "en"), ("der hund und die katze gehen nach hause", "de"), (None, "xx"), ("text", None)]
+    model = languages.fit_languages(spark.createDataFrame(known * 5, "script string, language string"))
+    assert model.languages == ["de", "en"]
+    rows = [(1, "the dog and the cat " * 20 + "die katze und der hund " * 20), (2, "the cat"), (3, None), (4, ""), (5, "12 %% 34"), (6, "der hund " * 100_000)]
+    found = {r.content_id: r for r in languages.script_languages(spark.createDataFrame(rows, "content_id long, script string"), model).collect()}
+    assert sorted(found[1].languages) == ["de", "en"] and 0.4 < found[1].share < 0.6
+    assert found[2].languages == ["en"] and found[6].language == "de"
+    assert [found[i].language for i in (3, 4, 5)] == ["und"] * 3
+    nothing = languages.fit_languages(spark.createDataFrame([], "script string, language string"))
+    assert languages.script_languages(spark.createDataFrame(rows, "content_id long, script string"), nothing).select("language").distinct().collect()[0][0] == "und"
+
+
+# Votes
+
+
+def test_held_out_quality(spark):
+    found = QUERIES["op10_quality_votes"](spark, FOLDER)
+    truth = spark.read.parquet(f"{FOLDER}/labels.parquet").select("doc_id", "quality")
+    rows = found.join(truth, "doc_id").where("held_out").collect()
+    assert len(rows) > 80 and sum(r.quality == r.predicted for r in rows) >= 0.95 * len(rows)
+
+
+def test_counts_do_not_depend_on_blocks(monkeypatch):
+    texts = [b"", b"ab", b"abc" * 50, bytes(range(32, 127)) * 9]
+    whole = votes.text_counts(texts)
+    monkeypatch.setattr(votes, "BLOCK_BYTES", 16)
+    assert (votes.text_counts(texts) == whole).all()
+    assert whole.sum(axis=1).tolist() == [0, 0, 148, 95 * 9 - 2]
+
+
+def test_votes_without_reviews_and_odd_scripts(spark):
+    content = spark.createDataFrame([(1, "a good text"), (2, None), (3, ""), (None, "$$$ bad ###")], "content_id long, script string")
+    content = content.withColumn("vote", F.lit(9))
+    none = votes.fit_votes(content, spark.createDataFrame([], "content_id long, passed int"))
+    assert {r.vote for r in votes.quality_votes(content, none).collect()} == {0.5}
+    reviews = spark.createDataFrame([(1, 1), (1, 1), (None, 0), (3, None), (99, 1)], "content_id long, passed int")
+    model = votes.fit_votes(content, reviews)
+    assert len(model.passed) == 1
+    assert {r.vote for r in votes.quality_votes(content, model).collect()} == {1.0}
+    assert votes.quality_votes(content.limit(0), model).count() == 0
+
+
+def test_votes_equal_plain_sums():
+    rng = np.random.default_rng(0)
+    counts = rng.integers(0, 5, (40, votes.BINS)).astype(np.float32)
+    model = votes.decompose(counts, (np.arange(40) % 4 > 0).astype(np.float32))
+    vectors = (np.log1p(counts) * model.weights) / np.linalg.norm(np.log1p(counts) * model.weights, axis=1, keepdims=True) @ model.axes
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    for i, score in enumerate(votes.votes(model, counts, 5)):
+        similar = vectors @ vectors[i]
+        near = np.argsort(-similar)[:5]
+        w = np.clip(similar[near], 0, 1) ** votes.SHARPNESS * np.where(model.passed[near] > 0, 0.5 / 0.75, 0.5 / 0.25)
+        assert score == pytest.approx((w * model.passed[near]).sum() / w.sum(), abs=1e-3)
