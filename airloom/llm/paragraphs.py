@@ -16,7 +16,7 @@ from airloom.llm.components import connected_components
 WIDTH = 5
 SIMILARITY = 0.8
 MIN_WORDS = 20
-HASHES = 64
+HASHES = 30
 RECALL = 0.999
 PAIRED = 64
 BLOCK_WORDS = 1 << 16
@@ -42,6 +42,11 @@ def _split(text: str | None, min_words: int) -> Iterator[tuple[int, int, list[by
         start += len(line) + 1
 
 
+def _key(words: list[bytes]) -> int:
+    value = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return value - (1 << 64) if value >> 63 else value
+
+
 def _shingles(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash for every run of five words (all words, if fewer), in order."""
     hashes = np.array([xxhash.xxh64_intdigest(word) for word in words], dtype=np.uint64)
@@ -78,7 +83,7 @@ def paragraph_bands(
 ) -> DataFrame:
     """``(content_id, paragraph, start, n_words, key, bands)`` for the lines with ``min_words``.
 
-    ``key`` is a 128-bit hash of the line's words in lower case (A-Z), so lines that differ in
+    ``key`` is a 64-bit hash of the line's words in lower case (A-Z), so lines that differ in
     case or spacing are the same text.
     """
     kind = content.select(content_id).schema[0].dataType
@@ -93,7 +98,7 @@ def paragraph_bands(
                 pa.array([f[1] for f in found], pa.int32()),
                 pa.array([f[2] for f in found], pa.int64()),
                 pa.array([f[3] for f in found], pa.int64()),
-                pa.array([f[4] for f in found], pa.binary()),
+                pa.array([f[4] for f in found], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1))),
             ],
             names,
@@ -104,7 +109,7 @@ def paragraph_bands(
             found, words_in = [], 0
             for id_, text in zip(batch.column(0), batch.column(1), strict=True):
                 for number, start, words in _split(text.as_py(), min_words):
-                    key = xxhash.xxh3_128_digest(b" ".join(words))
+                    key = _key(words)
                     found.append((id_.as_py(), number, start, len(words), key, _shingles(words)))
                     words_in += len(words)
                     if words_in >= BLOCK_WORDS:
@@ -116,33 +121,35 @@ def paragraph_bands(
     return content.select(F.col(content_id), F.col(script).cast("string")).mapInArrow(
         run,
         f"content_id {kind.simpleString()}, paragraph int, start bigint, n_words bigint, "
-        "key binary, bands array<bigint>",
+        "key bigint, bands array<bigint>",
     )
 
 
 def _shingle_sets(content: DataFrame, script: str, keys: DataFrame, min_words: int) -> DataFrame:
     """``(key, shingles)`` of the wanted paragraphs, each once; shingles as a sorted set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                found = [
-                    (xxhash.xxh3_128_digest(b" ".join(words)), np.unique(_shingles(words)).view(np.int64))
-                    for _, _, words in _split(text.as_py(), min_words)
-                ]
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([f[0] for f in found], pa.binary()),
-                            pa.array([f[1] for f in found], pa.list_(pa.int64())),
-                        ],
-                        ["key", "shingles"],
-                    )
-
-    sets = content.select(F.col(script).cast("string")).mapInArrow(
-        run, "key binary, shingles array<bigint>"
-    )
-    return sets.join(keys, "key", "left_semi").dropDuplicates(["key"])
+            found = {
+                _key(words): b" ".join(words)
+                for text in batch.column(0)
+                for _, _, words in _split(text.as_py(), min_words)
+            }
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())],
+                ["key", "text"],
+            )
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(_shingles(t.as_py().split())).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["key", "shingles"]
+            )
+
+    lines = content.select(F.col(script).cast("string")).mapInArrow(texts, "key bigint, text binary")
+    wanted = lines.join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return wanted.mapInArrow(sets, "key bigint, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -227,19 +234,20 @@ def repeated_paragraphs(
     """
     rows = band_rows(similarity, HASHES, RECALL)
     found = written(paragraph_bands(content, content_id, script, min_words, rows), "paragraph-bands")
-    banded = (
-        found.select("key", F.posexplode("bands").alias("number", "band"))
-        .select(F.xxhash64("number", "band").alias("band"), "key")
-        .distinct()
+    banded = found.select("key", F.posexplode("bands").alias("number", "band")).select(
+        F.xxhash64("number", "band").alias("band"), "key"
     )
-    keyed = written(banded, "paragraph-keys")
-    full = written(
-        keyed.groupBy("band")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
-        .where(F.col("n") > 1),
-        "paragraph-full",
+    # Bands with a single text, most of them, end here; copies are merged before the shuffle.
+    met = written(
+        banded.groupBy("band")
+        .agg(F.min("key").alias("first"), F.max("key").alias("last"))
+        .where(F.col("first") < F.col("last"))
+        .select("band", "first"),
+        "paragraph-met",
     )
-    members = written(keyed.join(full, "band"), "paragraph-members")
+    shared = written(banded.join(met, "band").distinct(), "paragraph-shared")
+    sizes = written(shared.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "paragraph-sizes")
+    members = written(shared.join(sizes, "band"), "paragraph-members")
     sets = written(
         _shingle_sets(content, script, members.select("key").distinct(), min_words), "paragraph-sets"
     )
