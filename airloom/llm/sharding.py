@@ -20,8 +20,9 @@ def stratified_shards(
 
     The items of a blogger are ranked in a seeded random order. All items are then sorted by
     their fractional rank, (rank - 1/2) / items of the blogger, and the sorted row is cut into
-    ``shards`` pieces whose lengths differ by one at most. So a shard's count for a blogger is
-    off its exact share by less than one item at either cut.
+    ``shards`` pieces whose lengths differ by one at most. At either cut of a shard, a blogger with
+    the share p of all items is off by at most half an item, and by another half of p for each
+    other blogger's rounding.
 
     ``(content_id, blogger, size, script_crc32, shard, slot)``: size is the UTF-8 length of the
     script plus 1, ``slot`` the place in the shard from 0. Scripts are hashed where they are read
