@@ -67,12 +67,17 @@ def text_counts(texts: list[bytes]) -> np.ndarray:
 
 
 def _vectors(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return _unit(np.log1p(counts) * weights)
+    rows = np.log1p(counts)
+    rows *= weights
+    return _unit(rows)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 1e-12)
+    """Rows scaled to length 1, in place; empty rows stay."""
+    norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+    norms[norms <= 1e-12] = np.inf
+    rows /= norms
+    return rows
 
 
 def fit_votes(
@@ -106,24 +111,32 @@ def fit_votes(
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 found = text_counts(_bytes(part.column(1)))
-                packed = [row.astype(np.uint32).tobytes() for row in found]
+                bins = [np.flatnonzero(row).astype(np.uint16) for row in found]
+                counts = [row[b].astype(np.uint32).tobytes() for row, b in zip(found, bins, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(packed, pa.binary()), part.column(2)],
-                    ["passed", "counts", "key"],
+                    [
+                        part.column(0),
+                        pa.array([b.tobytes() for b in bins], pa.binary()),
+                        pa.array(counts, pa.binary()),
+                        part.column(2),
+                    ],
+                    ["passed", "bins", "counts", "key"],
                 )
 
     joined = texts.join(sample, "_id").select("_passed", "text", order.alias("key"))
     counted = written(
-        joined.mapInArrow(count, "passed int, counts binary, key bigint"), "vote-counts"
-    )
-    rows = []
-    for label in (0, 1):
-        one = counted.where(F.col("passed") == label).orderBy("key", "counts").limit(per_label)
-        rows += [(np.frombuffer(bytes(r.counts), np.uint32), label) for r in one.collect()]
-    return decompose(
-        np.array([counts for counts, _ in rows], dtype=np.float32).reshape(-1, BINS),
-        np.array([label for _, label in rows], dtype=np.float32),
+        joined.mapInArrow(count, "passed int, bins binary, counts binary, key bigint"), "vote-counts"
     )
+    first = [
+        counted.where(F.col("passed") == label).orderBy("key", "bins", "counts").limit(per_label)
+        for label in (0, 1)
+    ]
+    chosen = written(first[0].unionByName(first[1]).select("passed", "bins", "counts"), "vote-rows")
+    labels_of, counts = [], np.zeros((chosen.count(), BINS), dtype=np.float32)
+    for row in chosen.orderBy("passed", "bins", "counts").toLocalIterator():
+        counts[len(labels_of), np.frombuffer(row.bins, np.uint16)] = np.frombuffer(row.counts, np.uint32)
+        labels_of.append(row.passed)
+    return decompose(counts, np.array(labels_of, dtype=np.float32))
 
 
 def decompose(counts: np.ndarray, passed: np.ndarray, rank: int = RANK) -> VoteModel:
