@@ -225,7 +225,7 @@ def repeated_paragraphs(
     ``similarity`` or more, and classes are the components of that relation. Equal texts are one
     text from the start. Texts meet in MinHash bands, with as many rows per band as still find a
     pair at the threshold with probability 0.999. Bands with up to ``paired`` texts are compared
-    pair by pair. The texts of fuller bands are compared with the band's smallest; once that has
+    pair by pair. The texts of fuller bands are compared with the one of them that meets most; once that has
     made classes, texts of bands that still hold several classes are joined on their rarest
     shingles, across classes only, which finds every remaining link without all pairs.
 
@@ -247,7 +247,7 @@ def repeated_paragraphs(
     )
     shared = written(banded.join(met, "band").distinct(), "paragraph-shared")
     sizes = written(shared.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "paragraph-sizes")
-    members = written(shared.join(sizes, "band"), "paragraph-members")
+    members = written(shared.drop("first").join(sizes, "band"), "paragraph-members")
     sets = written(
         _shingle_sets(content, script, members.select("key").distinct(), min_words), "paragraph-sets"
     )
@@ -258,8 +258,20 @@ def repeated_paragraphs(
         .where(F.col("a") < F.col("b"))
         .select("a", "b")
     )
-    stars = members.where((F.col("n") > paired) & (F.col("key") != F.col("first"))).select(
-        F.col("first").alias("a"), F.col("key").alias("b")
+    # The text that meets most others in full bands is the likeliest origin of their copies.
+    full = members.where(F.col("n") > paired)
+    met_most = written(full.groupBy("key").agg(F.sum("n").alias("meets")), "paragraph-meets")
+    centres = written(
+        full.join(met_most, "key")
+        .groupBy("band")
+        .agg(F.max(F.struct("meets", "key")).alias("centre"))
+        .select("band", F.col("centre.key").alias("centre")),
+        "paragraph-centres",
+    )
+    stars = (
+        full.join(centres, "band")
+        .where(F.col("key") != F.col("centre"))
+        .select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b"))
     )
     candidates = written(pairs.unionByName(stars).distinct(), "paragraph-pairs")
     links = written(_verified(candidates, sets, similarity), "paragraph-links")
