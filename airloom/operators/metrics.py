@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 @dataclass(frozen=True)
@@ -90,7 +91,7 @@ def calendar_fill(
 ) -> DataFrame:
     """Add the missing days, with the values in ``fill``.
 
-    ``df`` has one row per day and series; columns not in ``fill`` are NULL on added days.
+    Rows that repeat a day of a series are all kept, and the gap follows the last; columns not in ``fill`` are NULL on added days.
     Each series named by ``by`` gets every day from ``first`` to ``last``, so that series line
     up. Without these the range of all days is taken, which needs a pass over ``df`` of its
     own. Rows outside the range or without a day are left out.
@@ -114,7 +115,8 @@ def calendar_fill(
     spans = dated.withColumns(
         {
             "_from": F.when(F.lag(day).over(order).isNull(), start).otherwise(F.col(day)),
-            "_until": F.coalesce(F.date_sub(F.lead(day).over(order), 1), end),
+            # A day that is there twice covers itself both times.
+            "_until": F.greatest(F.coalesce(F.date_sub(F.lead(day).over(order), 1), end), day),
         }
     )
     days = spans.withColumn("_day", F.explode(F.sequence("_from", "_until")))
@@ -132,18 +134,24 @@ def calendar_fill(
 
 
 def trend_by_kind(
-    df: DataFrame, ts: str, kind: str, kinds: Sequence[str], agg: Column
+    df: DataFrame,
+    ts: str,
+    kind: str,
+    kinds: Sequence[str],
+    agg: Column,
+    fill: int | float | None = None,
 ) -> DataFrame:
-    """Per day one column for each of ``kinds``.
+    """Per day one column for each of ``kinds``; ``fill`` stands for a kind that the day lacks.
 
     The kinds are named by the caller: Spark would otherwise run a job to find them.
     """
-    return (
+    daily = (
         df.where(F.col(kind).isin(*kinds))
         .groupBy(F.to_date(ts).alias("day"))
         .pivot(kind, list(kinds))
         .agg(agg)
     )
+    return daily if fill is None else daily.fillna(fill, subset=list(kinds))
 
 
 def entity_stats(
@@ -154,8 +162,12 @@ def entity_stats(
 ) -> DataFrame:
     """Aggregates per entity; entities without facts are kept with zeros.
 
+    An aggregate that is NULL over an entity's facts stays NULL, and so does a text without facts.
     Facts are aggregated before the join, so one row per entity meets one row per entity.
     """
     totals = facts.groupBy(on).agg(*(column.alias(name) for name, column in aggs.items()))
-    joined = entities.join(totals, on, "left")
-    return joined.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in aggs})
+    numbers = [f.name for f in totals.schema if f.name in aggs and isinstance(f.dataType, NumericType)]
+    joined = entities.join(totals.withColumn("_facts", F.lit(True)), on, "left")
+    return joined.withColumns(
+        {name: F.when(F.col("_facts").isNull(), 0).otherwise(F.col(name)) for name in numbers}
+    ).drop("_facts")

@@ -33,8 +33,11 @@ SOON_SECONDS = 3600
 def capacity_check(
     demand: DataFrame, supply: DataFrame, on: str, need: str = "n", item: str = "item_id"
 ) -> DataFrame:
-    """Demand against distinct usable items per key: ``(on, needed, usable, ok, short_by)``."""
-    needed = demand.groupBy(on).agg(F.sum(need).alias("needed"))
+    """Demand against distinct usable items per key: ``(on, needed, usable, ok, short_by)``.
+
+    A NULL need is no need.
+    """
+    needed = demand.groupBy(on).agg(F.coalesce(F.sum(need), F.lit(0)).alias("needed"))
     usable = supply.groupBy(on).agg(F.count_distinct(item).alias("usable"))
     return (
         needed.join(usable, on, "left")
@@ -60,8 +63,10 @@ def shared_capacity_check(
     ``usable`` items of the pool, ``fits``, and ``overflows`` on the first row that does not.
 
     ``priority`` is a level (few values); ``key`` is a whole number, and ``slice_width`` keys
-    of one level are summed in one task. Rows lacking pool, priority or key are left out.
+    of one level are summed in one task. Rows lacking pool, priority or key are left out. A NULL need
+    counts as 0, and so does a negative one: no target gives items back to its pool.
     """
+    wanted = F.greatest(F.coalesce(F.col(need), F.lit(0)), F.lit(0))
     # Level and key range together: their order is the order of the rows.
     rows = require(demand, pool, priority, key).withColumn(
         SLICE,
@@ -76,7 +81,7 @@ def shared_capacity_check(
     # The pool's items go with the slices as well, so the rows are not shuffled by pool.
     usable = supply.groupBy(pool).agg(F.count_distinct(item).alias("usable"))
     carry = (
-        slice_totals(rows, [pool], {"_need": F.sum(need)})
+        slice_totals(rows, [pool], {"_need": F.sum(wanted)})
         .withColumn("_before", F.sum("_need").over(earlier_slices([pool])))
         .join(usable, pool, "left")
         .select(
@@ -87,11 +92,11 @@ def shared_capacity_check(
         )
     )
     checked = (
-        join_carry(rows.withColumn("_running", F.sum(need).over(inside)), carry, [pool])
+        join_carry(rows.withColumn("_running", F.sum(wanted).over(inside)), carry, [pool])
         .withColumn("running_need", F.col("_before") + F.col("_running"))
         .withColumn("fits", F.col("running_need") <= F.col("usable"))
     )
-    first = ~F.col("fits") & (F.col("running_need") - F.col(need) <= F.col("usable"))
+    first = ~F.col("fits") & (F.col("running_need") - wanted <= F.col("usable"))
     return checked.withColumn("overflows", first).drop(SLICE, "_before", "_running")
 
 
