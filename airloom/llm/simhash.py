@@ -269,9 +269,8 @@ def one_of_each(
     if is_empty(repeated):
         return kept
     again = kept[content_id] == repeated["_id"]
-    marked = kept.withColumn("_text", F.md5(F.coalesce(F.col(script), F.lit(""))))
-    several = marked.join(repeated, again, "left_semi").dropDuplicates([content_id, "_text"])
-    return kept.join(repeated, again, "left_anti").unionByName(several.drop("_text"))
+    several = kept.join(repeated, again, "left_semi").dropDuplicates([content_id, script])
+    return kept.join(repeated, again, "left_anti").unionByName(several)
 
 
 def as_hex(value: Column) -> Column:
