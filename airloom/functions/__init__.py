@@ -1,4 +1,4 @@
-from airloom.functions.tags import tag_set, tag_subsets
+from airloom.functions.tags import tag_set
 from airloom.functions.timing import (
     as_event_time,
     as_local_time,
@@ -14,7 +14,6 @@ __all__ = [
     "epoch_seconds",
     "seconds_between",
     "tag_set",
-    "tag_subsets",
     "time_slice",
     "week_second",
 ]

@@ -10,24 +10,3 @@ def tag_set(tags: Column) -> Column:
     """Distinct tags in order, without NULL; a NULL array counts as no tags."""
     cleaned = F.filter(F.array_distinct(tags), lambda tag: tag.isNotNull())
     return F.sort_array(F.coalesce(cleaned, F.array().cast("array<string>")))
-
-
-def tag_subsets(tags: Column, max_tags: int, min_size: Column | int = 1) -> Column:
-    """All subsets of a tag set with at least ``min_size`` (and one) tags, each in order.
-
-    A set of t tags has 2**t - 1 of them, so wide sets are refused at run time: an error
-    is better than a result with rows missing.
-    """
-    too_wide = F.concat(
-        F.lit("tag set of "), F.size(tags).cast("string"), F.lit(f" tags; max_tags is {max_tags}")
-    )
-    checked = F.when(F.size(tags) > max_tags, F.raise_error(too_wide)).otherwise(tags)
-    grown = F.aggregate(
-        checked,
-        F.array(F.array().cast("array<string>")),
-        lambda built, tag: F.concat(
-            built, F.transform(built, lambda subset: F.array_append(subset, tag))
-        ),
-    )
-    least = F.greatest(F.lit(1), F.lit(min_size) if isinstance(min_size, int) else min_size)
-    return F.filter(grown, lambda subset: F.size(subset) >= least)

@@ -76,10 +76,52 @@ def test_tag_pool_equals_brute_force(frame, m):
     assert rows_of(result) == sorted(expected, key=lambda r: [(v is None, str(v)) for v in r])
 
 
-def test_wide_tag_sets_fail_instead_of_losing_rows(frame):
-    items = frame([(1, list("abcde")), (2, ["a"])], "item_id bigint, tags array<string>")
-    with pytest.raises(Exception, match="max_tags"):
-        ops.related_items(items, 1, max_tags=4).collect()
+def wide_items(width, count=40, tags=45):
+    rng = random.Random(width)
+    pool = [f"t{number:02}" for number in range(tags)]
+    return [(number, rng.sample(pool, width)) for number in range(count)]
+
+
+def best_related(rows, m, min_sim):
+    expected = []
+    for a, own in rows:
+        found = []
+        for b, other in rows:
+            shared = len(set(own) & set(other))
+            similarity = shared / len(set(own) | set(other))
+            if a != b and shared and similarity >= min_sim:
+                found.append((-similarity, b))
+        expected += [(a, rank, b, -s) for rank, (s, b) in enumerate(sorted(found)[:m], 1)]
+    return sorted(expected)
+
+
+@pytest.mark.parametrize("width", [13, 20, 30])
+def test_sets_of_any_width_equal_brute_force(frame, width):
+    rows = wide_items(width)
+    items = frame(rows, "item_id bigint, tags array<string>")
+    assert sorted(map(tuple, ops.related_items(items, 3, 0.2).collect())) == best_related(rows, 3, 0.2)
+    profiles = rows[:5] + [(900, ["t00"]), (901, rows[0][1][:2])]
+    expected = []
+    for profile, own in profiles:
+        found = sorted((-len(set(own) & set(o)), b) for b, o in rows if set(own) & set(o))
+        expected += [(profile, len(found), r, b, -s) for r, (s, b) in enumerate(found[:3], 1)]
+    pool = ops.tag_pool(frame(profiles, "profile_id bigint, tags array<string>"), items, 3)
+    assert sorted(map(tuple, pool.collect())) == sorted(expected)
+
+
+@pytest.mark.parametrize("pair_limit", [1, 5])
+def test_growing_prefixes_equals_brute_force(frame, pair_limit):
+    rows = [(n, t[:4]) for n, t in wide_items(13, 60, 14)] + [(100 + n, ["t00", "t01"]) for n in range(9)]
+    items = frame(rows, "item_id bigint, tags array<string>")
+    for m, min_sim in [(2, 0.0), (3, 0.5)][: pair_limit]:
+        found = ops.related_items(items, m, min_sim, pair_limit=pair_limit)
+        assert sorted(map(tuple, found.collect())) == best_related(rows, m, min_sim)
+    pool = ops.tag_pool(items.withColumnRenamed("item_id", "profile_id"), items, 3, pair_limit=pair_limit)
+    expected = []
+    for profile, own in rows:
+        found = sorted((-len(set(own) & set(o)), b) for b, o in rows if set(own) & set(o))
+        expected += [(profile, len(found), r, b, -s) for r, (s, b) in enumerate(found[:3], 1)]
+    assert sorted(map(tuple, pool.collect())) == sorted(expected)
 
 
 def test_linked_programs_in_order_and_in_pages(frame):
