@@ -61,22 +61,30 @@ def drilldown(
 ) -> DataFrame:
     """Totals per parent and per child in one result, told apart by ``level``.
 
-    ``aggs`` maps a name to ``(function, column)`` with sum, count, min or max. These combine,
-    so the rows are aggregated and shuffled once, by child, and the parents are made of that
-    result: a rollup of the rows would shuffle a second copy of them.
+    ``aggs`` maps a name to ``(function, column)`` with sum, count, min, max or avg. These combine
+    (an average as sum and count), so the rows are aggregated and shuffled once, by child, and the
+    parents are made of that result: a rollup of the rows would shuffle a second copy of them.
     """
-    for function, _ in aggs.values():
-        if function not in _COMBINE:
-            raise ValueError(f"cannot combine {function!r}; use one of {sorted(_COMBINE)}")
+    parts: dict[str, tuple[str, str]] = {}
+    results = [F.col("level"), F.col(parent), F.col(child)]
+    for name, (how, column) in aggs.items():
+        if how == "avg":
+            total, number = f"_total_{name}", f"_number_{name}"
+            parts |= {total: ("sum", column), number: ("count", column)}
+            results.append(F.try_divide(total, number).alias(name))
+        elif how in _COMBINE:
+            parts[name] = (how, column)
+            results.append(F.col(name))
+        else:
+            raise ValueError(f"cannot combine {how!r}; use avg or one of {sorted(_COMBINE)}")
     children = df.groupBy(parent, child).agg(
-        *(getattr(F, how)(column).alias(name) for name, (how, column) in aggs.items())
+        *(getattr(F, how)(column).alias(name) for name, (how, column) in parts.items())
     )
     parents = children.groupBy(parent).agg(
-        *(_COMBINE[how](name).alias(name) for name, (how, _) in aggs.items())
+        *(_COMBINE[how](name).alias(name) for name, (how, _) in parts.items())
     )
-    columns = ["level", parent, child, *aggs]
     return (
         parents.withColumns({"level": F.lit(parent), child: F.lit(None)})
-        .select(columns)
-        .unionByName(children.withColumn("level", F.lit(child)).select(columns))
+        .unionByName(children.withColumn("level", F.lit(child)))
+        .select(results)
     )

@@ -11,6 +11,7 @@ from airloom.functions.timing import week_second
 from airloom.operators.slices import (
     SLICE,
     earlier_slices,
+    in_slices,
     join_carry,
     require,
     slice_totals,
@@ -33,25 +34,31 @@ def merge_intervals(
     Empty and reversed intervals cover nothing and are left out. Intervals with the same start
     are combined before the shuffle.
 
-    ``slice_width`` is in units of ``start``. It shares out the line of one key over many
-    tasks, slice by slice; without it, a key's distinct starts are ordered in one task, which
-    is right where they are few by nature, as on a weekly grid.
+    The line of one key is shared out over many tasks in slices of about equally many distinct
+    starts, by a job that runs at once (see :func:`in_slices`). With ``slice_width``, in units of
+    ``start``, the slices have that width instead, without that job.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    distinct = (
+    distinct = _distinct_starts(df, keys, start, end)
+    if slice_width is None:
+        sliced = in_slices(distinct, keys, ["_start"])
+    else:
+        sliced = distinct.withColumn(SLICE, F.floor(F.col("_start") / F.lit(slice_width)))
+    # Merging inside the slices first leaves a few pieces of each; then the pieces that an
+    # earlier slice reaches into are joined up.
+    pieces = _across_slices(_islands(sliced, [*keys, SLICE]), keys)
+    return pieces.select(*keys, F.col("_start").alias(start), F.col("_end").alias(end))
+
+
+def _distinct_starts(
+    df: DataFrame, keys: Sequence[str], start: str, end: str
+) -> DataFrame:
+    return (
         require(df, *keys)
         .where(F.col(start) < F.col(end))
         .groupBy(*keys, F.col(start).alias("_start"))
         .agg(F.max(end).alias("_end"))
     )
-    if slice_width is None:
-        pieces = _islands(distinct, keys)
-    else:
-        # Merging inside the slices first leaves a few pieces of each; then the pieces that an
-        # earlier slice reaches into are joined up.
-        sliced = distinct.withColumn(SLICE, F.floor(F.col("_start") / F.lit(slice_width)))
-        pieces = _across_slices(_islands(sliced, [*keys, SLICE]), keys)
-    return pieces.select(*keys, F.col("_start").alias(start), F.col("_end").alias(end))
 
 
 def _islands(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -122,7 +129,11 @@ def weekly_intervals(
         ),
         F.struct(F.lit(0).alias("start_m"), (F.col("_to") - MINUTES_PER_WEEK).alias("end_m")),
     )
-    return merge_intervals(minutes.select(key, F.inline(parts)), key, "start_m", "end_m")
+    # A key has at most as many distinct starts as the week has minutes: one task can order them.
+    starts = _distinct_starts(minutes.select(key, F.inline(parts)), [key], "start_m", "end_m")
+    return _islands(starts, [key]).select(
+        key, F.col("_start").alias("start_m"), F.col("_end").alias("end_m")
+    )
 
 
 def events_in_schedule(events: DataFrame, slots: DataFrame, key: str, ts: str) -> DataFrame:

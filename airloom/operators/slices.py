@@ -8,6 +8,9 @@ rows would then hold up the whole job, so the operators that need row order work
 2. each slice is summed up in one row, a window over these few rows brings along what the
    earlier or later slices contribute, and that row is joined back to its slice.
 
+Slices are stretches of time or keys of a given width, or, by :func:`in_slices`, ranges of about
+equally many rows. The latter hold for ties, bursts and sparse keys.
+
 Step 2 sees one row per key and slice, however many rows the slice has. Its aggregation is
 combined before the shuffle, and the join is on the columns that step 1 is partitioned by.
 """
@@ -19,9 +22,25 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from airloom.session import stored
+
 SLICE = "_slice"
 
 
+def in_slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` cut into ranges of about equally many rows along keys and order.
+
+    The slices are the partitions of Spark's range partitioning, which samples the rows for its
+    bounds: as many as ``spark.sql.shuffle.partitions``, whatever the values are, and a group has
+    no more of them than that. Rows that agree in keys and order share a slice. The result is
+    written to the shared folder by a job of its own, as the bounds may differ from one
+    evaluation to the next; later steps read that table.
+    """
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = rows.repartitionByRange(count, *keys, *order)
+    return stored(cut.withColumn(SLICE, F.spark_partition_id()), "slices")
+
+
 def within_slice(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
     """The window of step 1."""
     return Window.partitionBy(*keys, SLICE).orderBy(*order)

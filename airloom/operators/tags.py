@@ -19,7 +19,15 @@ from pyspark.sql import functions as F
 from airloom.functions.tags import tag_set
 from airloom.operators.ranking import ranking_by_group
 from airloom.operators.skew import salted_join
-from airloom.operators.slices import require
+from airloom.operators.slices import (
+    SLICE,
+    earlier_slices,
+    in_slices,
+    join_carry,
+    require,
+    slice_totals,
+    within_slice,
+)
 from airloom.session import stored
 
 PAIR_LIMIT = 256
@@ -309,23 +317,31 @@ def linked_programs(
     """Each content item with the ordered array of its programmes.
 
     ``(*content, page, programs)``; the array holds structs of ``ord``, ``program_id`` and the
-    other columns of ``programs``. ``ord`` is the position of a link in its content item,
-    from 1. Positions beyond ``page_size`` continue on further pages, a row each, so that no
-    array grows with the number of links. Page 0 is always there, if need be empty. Repeated
-    links count once; links of unknown content or to unknown programmes are left out.
+    other columns of ``programs``, in order of ``ord`` and then programme. Links beyond the first
+    ``page_size`` continue on further pages, a row each, whatever their ``ord``, so that no array
+    has more than ``page_size`` entries. Page 0 is always there, if need be empty. Repeated links
+    count once; links of unknown content or to unknown programmes are left out. The links of an
+    item are numbered in slices, by a job that runs at once.
     """
     if page_size < 1:
         raise ValueError("a page has at least one position")
     details = [name for name in programs.columns if name != program_id]
-    page = F.floor((F.col(ord) - 1) / F.lit(page_size)).cast("int")
-    entries = (
+    known = (
         require(links, content_id, ord)
         .select(content_id, program_id, ord)
         .distinct()
         .join(programs, program_id)
-        .select(
-            content_id, page.alias("page"), F.struct(ord, program_id, *details).alias("_entry")
-        )
+    )
+    rows = in_slices(known, [content_id], [ord, program_id])
+    carry = slice_totals(rows, [content_id], {"_n": F.count(F.lit(1))}).select(
+        content_id, SLICE, F.sum("_n").over(earlier_slices([content_id])).alias("_before")
+    )
+    place = F.row_number().over(within_slice([content_id], [ord, program_id]))
+    number = F.coalesce("_before", F.lit(0)) + F.col("_place") - 1
+    entries = join_carry(rows.withColumn("_place", place), carry, [content_id]).select(
+        content_id,
+        F.floor(number / F.lit(page_size)).cast("int").alias("page"),
+        F.struct(ord, program_id, *details).alias("_entry"),
     )
     first_pages = content.select(content_id, F.lit(0).alias("page"))
     pages = (

@@ -19,6 +19,7 @@ from airloom.operators.schedule import MINUTES_PER_WEEK, weekly_intervals
 from airloom.operators.slices import (
     SLICE,
     earlier_slices,
+    in_slices,
     join_carry,
     require,
     slice_order,
@@ -55,26 +56,27 @@ def shared_capacity_check(
     key: str,
     need: str = "n",
     item: str = "item_id",
-    slice_width: int = 100_000,
+    slice_width: int | None = None,
 ) -> DataFrame:
     """Demand served from shared pools, in order of priority and then key.
 
     Adds to ``demand`` the ``running_need`` of its pool up to and including the row, the
     ``usable`` items of the pool, ``fits``, and ``overflows`` on the first row that does not.
 
-    ``priority`` is a level (few values); ``key`` is a whole number, and ``slice_width`` keys
-    of one level are summed in one task. Rows lacking pool, priority or key are left out. A NULL need
-    counts as 0, and so does a negative one: no target gives items back to its pool.
+    A pool is summed in slices of about equally many rows, by a job that runs at once (see
+    :func:`in_slices`). With ``slice_width``, the slices are that many keys of one level instead:
+    ``key`` is then a whole number, and there is no job of its own. Rows lacking pool, priority or
+    key are left out. A NULL need counts as 0, and so does a negative one: no target gives items
+    back to its pool.
     """
     wanted = F.greatest(F.coalesce(F.col(need), F.lit(0)), F.lit(0))
-    # Level and key range together: their order is the order of the rows.
-    rows = require(demand, pool, priority, key).withColumn(
-        SLICE,
-        F.struct(
-            F.col(priority).alias("level"),
-            F.floor(F.col(key) / F.lit(slice_width)).alias("range"),
-        ),
-    )
+    rows = require(demand, pool, priority, key)
+    if slice_width is None:
+        rows = in_slices(rows, [pool], [priority, key])
+    else:
+        # Level and key range together: their order is the order of the rows.
+        key_range = F.floor(F.col(key) / F.lit(slice_width)).alias("range")
+        rows = rows.withColumn(SLICE, F.struct(F.col(priority).alias("level"), key_range))
     inside = within_slice([pool], [priority, key]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -143,16 +145,22 @@ def queue_position(
     queued_at: str,
     key: str,
     done: str | None = None,
-    slice_minutes: int = 60,
+    slice_minutes: int | None = None,
 ) -> DataFrame:
     """First-in-first-out position of the unfinished items of each queue, ties by key.
 
-    Rows without a queue or time are left out. A queue is numbered slice by slice.
+    Rows without a queue or time are left out. A queue is numbered in slices of about equally many
+    rows, by a job that runs at once (see :func:`in_slices`). With ``slice_minutes``, the slices
+    are stretches of time instead, without that job: for queues without bursts.
     """
     waiting = require(df, queue, queued_at)
     if done is not None:
         waiting = waiting.where(~F.coalesce(F.col(done), F.lit(False)))
-    rows = waiting.withColumn(SLICE, time_slice(df, queued_at, slice_minutes))
+    time_type(df, queued_at)
+    if slice_minutes is None:
+        rows = in_slices(waiting, [queue], [queued_at, key])
+    else:
+        rows = waiting.withColumn(SLICE, time_slice(df, queued_at, slice_minutes))
     carry = slice_totals(rows, [queue], {"_n": F.count(F.lit(1))}).select(
         queue, SLICE, F.sum("_n").over(earlier_slices([queue])).alias("_before")
     )
@@ -225,15 +233,21 @@ def status_history(
     ts: str,
     status: str,
     event_id: str = "event_id",
-    slice_minutes: int = 60,
+    slice_minutes: int | None = None,
 ) -> DataFrame:
     """Every event with the status before it, the time of the next and the dwell in seconds.
 
     The open status of a key has no next time and no dwell. Rows without a key or time are left
-    out. A key's events are ordered slice by slice; the first and last row of each slice look
-    across its edge.
+    out. A key's events are ordered in slices of about equally many rows, by a job that runs at
+    once (see :func:`in_slices`), or with ``slice_minutes`` in stretches of time without that job;
+    the first and last row of each slice look across its edge.
     """
-    rows = require(events, key, ts).withColumn(SLICE, time_slice(events, ts, slice_minutes))
+    time_type(events, ts)
+    rows = require(events, key, ts)
+    if slice_minutes is None:
+        rows = in_slices(rows, [key], [ts, event_id])
+    else:
+        rows = rows.withColumn(SLICE, time_slice(events, ts, slice_minutes))
     order = slice_order([key])
     newest = F.max(F.struct(ts, event_id, F.col(status).alias("status")))
     carry = slice_totals(rows, [key], {"_first_ts": F.min(ts), "_newest": newest}).select(
@@ -276,9 +290,9 @@ def checklist_complete(
     ``checks`` has a row per ticked check; repeated and unknown ones do not count.
     """
     wanted = required.select(check).distinct()
-    # Few different checks share all the rows.
+    # Few different checks share all the rows; repeated ones go before they are shuffled by check.
     marked = salted_join(
-        checks.select(item, check), wanted.withColumn("_wanted", F.lit(True)), check, [item], "left"
+        checks.select(item, check).distinct(), wanted.withColumn("_wanted", F.lit(True)), check, [item], "left"
     )
     ticked = (
         marked.groupBy(item)
@@ -295,14 +309,18 @@ def return_reasons(df: DataFrame, item: str, reasons: str) -> DataFrame:
     An item may name several, so the shares can add up to more than 1. Items that came back
     without any reason count in the base.
     """
-    returned = df.agg(F.count_distinct(item)).scalar()
-    named = df.select(item, F.explode(F.array_distinct(reasons)).alias("reason"))
+    kind = df.schema[reasons].dataType
+    # NULL stands for having come back at all, so that one pass counts the base as well.
+    given = F.filter(F.coalesce(reasons, F.array().cast(kind)), lambda reason: reason.isNotNull())
+    marked = F.concat(F.array(F.lit(None)).cast(kind), given)
     counts = (
-        named.where(F.col("reason").isNotNull())
+        df.select(item, F.explode(marked).alias("reason"))
         .groupBy("reason")
         .agg(F.count_distinct(item).alias("items"))
     )
-    return counts.withColumn("share", F.col("items") / returned)
+    # The same aggregation, not a filtered one, so that its exchange is used again.
+    returned = counts.agg(F.max(F.when(F.col("reason").isNull(), F.col("items")))).scalar()
+    return counts.withColumn("share", F.col("items") / returned).where(F.col("reason").isNotNull())
 
 
 def content_profile(

@@ -8,16 +8,59 @@ from __future__ import annotations
 
 _TIME = "'%Y-%m-%d %H:%M:%S.%f'"
 
-_TABLES = (
-    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
-    "lineitem", "nation", "orders", "pages", "part", "region", "supplier",
-)
 
 
 def _cents(name: str) -> str:
     return f"CAST(round({name} * 100) AS BIGINT)"
 
 
+_INT, _TEXT, _MONEY, _TIME_KIND, _VECTOR = "int", "text", "money", "time", "vector"
+
+_COLUMNS = {
+    "region": {"r_regionkey": _INT, "r_name": _TEXT},
+    "nation": {"n_nationkey": _INT, "n_name": _TEXT, "n_regionkey": _INT},
+    "customer": {"c_custkey": _INT, "c_name": _TEXT, "c_nationkey": _INT, "c_acctbal": _MONEY,
+                 "c_mktsegment": _TEXT},
+    "supplier": {"s_suppkey": _INT, "s_name": _TEXT, "s_nationkey": _INT, "s_acctbal": _MONEY},
+    "part": {"p_partkey": _INT, "p_name": _TEXT, "p_brand": _TEXT, "p_type": _TEXT,
+             "p_size": _INT, "p_retailprice": _MONEY},
+    "orders": {"o_orderkey": _INT, "o_custkey": _INT, "o_orderstatus": _TEXT,
+               "o_totalprice": _MONEY, "o_orderdate": _TIME_KIND, "o_orderpriority": _TEXT},
+    "lineitem": {"l_orderkey": _INT, "l_partkey": _INT, "l_suppkey": _INT, "l_linenumber": _INT,
+                 "l_quantity": _MONEY, "l_extendedprice": _MONEY, "l_discount": _MONEY,
+                 "l_tax": _MONEY, "l_returnflag": _TEXT, "l_linestatus": _TEXT,
+                 "l_shipdate": _TIME_KIND},
+    "events": {"event_id": _INT, "ts": _TIME_KIND, "user_id": _INT, "event_type": _TEXT,
+               "value": _MONEY, "props": _TEXT},
+    "documents": {"doc_id": _INT, "text": _TEXT, "lang": _TEXT, "source": _TEXT, "n_chars": _INT},
+    "embeddings": {"vec_id": _INT, "embedding": _VECTOR, "label": _INT},
+    "pages": {"page_id": _INT, "url": _TEXT, "html": _TEXT},
+    "benchmark": {"item_id": _INT, "text": _TEXT},
+    "labels": {"doc_id": _INT, "quality": _INT, "toxic": _INT},
+    "conversations": {"conv_id": _INT, "turn": _INT, "role": _TEXT, "text": _TEXT},
+}
+
+_DIGESTS = {
+    _INT: "CAST({0} AS BIGINT)",
+    _TEXT: "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)",
+    _MONEY: "CAST(round({0} * 100) AS BIGINT)",
+    _TIME_KIND: "CAST(floor(epoch({0})) AS BIGINT)",
+    _VECTOR: "list_sum(list_transform({0}, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)))",
+}
+
+
+def _table_check(name: str) -> str:
+    columns = _COLUMNS[name]
+    nulls = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in columns)
+    digests = " + ".join(
+        f"coalesce({_DIGESTS[kind].format(c)}, 0)" for c, kind in columns.items()
+    )
+    return f"""
+SELECT '{name}' AS table_name, count(*) AS n, CAST(coalesce(sum({nulls}), 0) AS BIGINT) AS nulls,
+       CAST(coalesce(sum({digests}), 0) AS BIGINT) AS checksum
+FROM {name}"""
+
+
 _FUNNEL = """
 e AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, event_type FROM events),
 s1 AS (SELECT user_id, day, min(ts) AS t FROM e WHERE event_type = 'view' GROUP BY ALL),
@@ -102,9 +145,7 @@ WHERE {word} EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orde
 
 
 ORACLES: dict[str, str] = {
-    "load_tables": " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, count(*) AS n FROM {name}" for name in _TABLES
-    ),
+    "load_tables": " UNION ALL ".join(map(_table_check, _COLUMNS)),
     "search_filter": """
 SELECT p_partkey AS program_id, p_name AS title, p_brand AS channel, p_type AS category
 FROM part
@@ -131,6 +172,10 @@ SELECT count(*) AS events, count(DISTINCT user_id) AS users,
        count(DISTINCT user_id) FILTER (event_type = 'purchase') AS buyers,
        CAST(sum({_cents("value")}) FILTER (event_type = 'purchase') AS BIGINT) AS revenue_cents
 FROM events
+""",
+    "kpi_summary_two_columns": """
+SELECT count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS kinds, count(*) AS events
+FROM events
 """,
     "conversion_trend": """
 WITH base AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events
@@ -143,13 +188,15 @@ SELECT CAST(day AS VARCHAR) AS day, coalesce(base.n, 0) AS base_events,
 FROM base FULL JOIN conv USING (day)
 """,
     "calendar_fill": """
-WITH daily AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS items FROM orders
-               WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' GROUP BY ALL),
+WITH daily AS (SELECT o_orderstatus AS status, o_orderpriority AS queue,
+                      CAST(o_orderdate AS DATE) AS day, count(*) AS items
+               FROM orders GROUP BY ALL),
+     series AS (SELECT DISTINCT status, queue FROM daily),
      days AS (SELECT CAST(unnest(generate_series(
                 (SELECT min(day) FROM daily), (SELECT max(day) FROM daily), INTERVAL 1 DAY)) AS DATE)
               AS day)
-SELECT CAST(day AS VARCHAR) AS day, coalesce(items, 0) AS items
-FROM days LEFT JOIN daily USING (day)
+SELECT status, queue, CAST(day AS VARCHAR) AS day, coalesce(items, 0) AS items
+FROM series CROSS JOIN days LEFT JOIN daily USING (status, queue, day)
 """,
     "calendar_fill_by_user": """
 WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL),
@@ -211,7 +258,8 @@ QUALIFY rank <= 10
 SELECT CASE WHEN grouping(o_orderkey) = 1 THEN 'blogger_id' ELSE 'content_id' END AS level,
        o_custkey AS blogger_id, o_orderkey AS content_id, count(*) AS items,
        CAST(sum({_cents("o_totalprice")}) AS BIGINT) AS effect_cents,
-       max({_cents("o_totalprice")}) AS best_cents
+       max({_cents("o_totalprice")}) AS best_cents,
+       CAST(sum({_cents("o_totalprice")}) AS DOUBLE) / count(o_totalprice) AS mean_cents
 FROM orders GROUP BY GROUPING SETS ((o_custkey, o_orderkey), (o_custkey))
 """,
     "entity_stats": f"""
@@ -252,9 +300,11 @@ SELECT item_id, row_number() OVER (
 FROM pairs WHERE similarity >= 0.4 QUALIFY rank <= 5
 """,
     "linked_programs": """
-WITH linked AS (SELECT DISTINCT l_orderkey, (l_linenumber - 1) // 4 AS page, l_linenumber,
-                       l_partkey, p_name
-                FROM lineitem JOIN part ON l_partkey = p_partkey),
+WITH links AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, p_name
+               FROM lineitem JOIN part ON l_partkey = p_partkey),
+     linked AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey
+                                              ORDER BY l_linenumber, l_partkey) - 1) // 4 AS page
+                FROM links),
      pages AS (SELECT o_orderkey, 0 AS page FROM orders
                UNION SELECT l_orderkey, page FROM linked JOIN orders ON l_orderkey = o_orderkey)
 SELECT o_orderkey AS content_id, CAST(pages.page AS BIGINT) AS page,
@@ -349,6 +399,14 @@ FROM (SELECT i.l_orderkey, i.p_type, EXISTS (
         AS missing
       FROM items i) CROSS JOIN n
 GROUP BY l_orderkey
+""",
+    "checklist_complete_only": """
+WITH required AS (SELECT DISTINCT p_type FROM part WHERE p_type LIKE 'S%'),
+     checked AS (SELECT l_orderkey, count(DISTINCT p_type) AS checked
+                 FROM lineitem JOIN part ON l_partkey = p_partkey
+                 WHERE p_type LIKE 'S%' GROUP BY ALL)
+SELECT l_orderkey AS content_id, checked, checked AS required, true AS complete
+FROM checked WHERE checked = (SELECT count(*) FROM required)
 """,
     "return_reasons": f"""
 WITH returned AS (SELECT l_orderkey, {_TAGS} AS tags
@@ -407,7 +465,9 @@ FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 GROUP BY ALL
 """,
-    "live_dedup": "SELECT DISTINCT event_id, user_id, event_type FROM events",
+    "live_dedup": f"""
+SELECT DISTINCT event_id, user_id, event_type, strftime(ts, {_TIME}) AS ts FROM events
+""",
     "live_status": f"""
 SELECT user_id AS content_id, strftime(max(ts), {_TIME}) AS ts, arg_max(event_id, ts) AS event_id,
        arg_max(event_type, ts) AS status

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce, wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airloom import operators as ops
 from airloom import sources
 from airloom import streaming as live
+from airloom.functions.timing import as_local_time, epoch_seconds
 from airloom.plans import standins as std
 from airloom.session import shared_folder
 
@@ -58,11 +59,33 @@ def _daily_events(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def load_tables(spark, folder):
     tables = sources.load_tables(spark, folder, sorted(sources.SCHEMAS))
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
-        for name, df in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    checks = []
+    for name, df in tables.items():
+        nulls = [F.col(column).isNull().cast("int") for column in df.columns]
+        digests = [F.coalesce(_digest(df, column), F.lit(0)) for column in df.columns]
+        measures = [
+            F.count(F.lit(1)).alias("n"),
+            F.coalesce(F.sum(reduce(Column.__add__, nulls)), F.lit(0)).alias("nulls"),
+            F.coalesce(F.sum(reduce(Column.__add__, digests)), F.lit(0)).alias("checksum"),
+        ]
+        checks.append(df.agg(*measures).select(F.lit(name).alias("table_name"), "*"))
+    return reduce(DataFrame.unionByName, checks)
+
+
+def _digest(df: DataFrame, name: str) -> Column:
+    """A whole number that follows from a value in any engine."""
+    kind, value = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.StringType):
+        return F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("bigint")
+    if isinstance(kind, T.DoubleType):
+        return F.round(value * 100).cast("bigint")
+    if isinstance(kind, T.TimestampNTZType):
+        return epoch_seconds(df, name)
+    if isinstance(kind, T.ArrayType):
+        return F.aggregate(
+            value, F.lit(0).cast("bigint"), lambda sum_, x: sum_ + F.round(x.cast("double") * 1000).cast("bigint")
+        )
+    return value.cast("bigint")
 
 
 @query
@@ -108,6 +131,18 @@ def kpi_summary(spark, folder):
     )
 
 
+@query
+def kpi_summary_two_columns(spark, folder):
+    return ops.kpi_summary(
+        std.effect_events(spark, folder),
+        {
+            "users": ops.Metric("distinct", "user_id"),
+            "kinds": ops.Metric("distinct", "event_type"),
+            "events": ops.Metric("count"),
+        },
+    )
+
+
 @query
 def conversion_trend(spark, folder):
     return ops.conversion_trend(
@@ -117,11 +152,12 @@ def conversion_trend(spark, folder):
 
 @query
 def calendar_fill(spark, folder):
-    urgent = std.content(spark, folder).where("status = 'P' and queue = '1-URGENT'")
-    daily = urgent.groupBy(F.to_date("created_at").alias("day")).agg(
-        F.count(F.lit(1)).alias("items")
+    daily = (
+        std.content(spark, folder)
+        .groupBy("status", "queue", F.to_date("created_at").alias("day"))
+        .agg(F.count(F.lit(1)).alias("items"))
     )
-    return ops.calendar_fill(daily, "day", {"items": 0})
+    return ops.calendar_fill(daily, "day", {"items": 0}, ["status", "queue"])
 
 
 @query
@@ -205,6 +241,7 @@ def drilldown(spark, folder):
             "items": ("count", "content_id"),
             "effect_cents": ("sum", "effect_cents"),
             "best_cents": ("max", "effect_cents"),
+            "mean_cents": ("avg", "effect_cents"),
         },
     )
 
@@ -347,9 +384,7 @@ def batch_progress(spark, folder):
 @query
 def queue_position(spark, folder):
     waiting = std.content(spark, folder).withColumn("done", F.col("status") != "O")
-    placed = ops.queue_position(
-        waiting, "queue", "created_at", "content_id", "done", slice_minutes=1440
-    )
+    placed = ops.queue_position(waiting, "queue", "created_at", "content_id", "done")
     return placed.select("content_id", "queue", "created_at", "position")
 
 
@@ -381,6 +416,16 @@ def checklist_complete(spark, folder):
     return ops.checklist_complete(checks, required, "content_id", "category")
 
 
+@query
+def checklist_complete_only(spark, folder):
+    programs = std.programs(spark, folder).select("program_id", "category")
+    checks = (
+        std.links(spark, folder).select("content_id", "program_id").join(programs, "program_id")
+    )
+    required = programs.where(F.col("category").startswith("S")).select("category")
+    return ops.checklist_complete(checks, required, "content_id", "category", only_complete=True)
+
+
 @query
 def return_reasons(spark, folder):
     returned = (
@@ -428,9 +473,7 @@ def schedule_summary(spark, folder):
 
 @query
 def merge_intervals(spark, folder):
-    return ops.merge_intervals(
-        std.excerpts(spark, folder), "source_id", "start_s", "end_s", slice_width=3600
-    )
+    return ops.merge_intervals(std.excerpts(spark, folder), "source_id", "start_s", "end_s")
 
 
 @query
@@ -487,7 +530,7 @@ def live_dedup(spark, folder):
     events = std.event_stream(_stream_session(spark), folder)
     replayed = events.unionByName(events)
     once = live.live_dedup(replayed, "event_id", "ts", "1 hour")
-    return _append(spark, once.drop("ts"), "live_dedup")
+    return _append(spark, once.withColumn("ts", as_local_time(F.col("ts"))), "live_dedup")
 
 
 @query

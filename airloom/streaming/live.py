@@ -84,6 +84,7 @@ def live_status(
     ``sink`` is a folder for :func:`status_log`, or a function that upserts the changed keys of
     a micro-batch by key. The caller sets checkpoint and trigger, and starts it.
     """
-    upsert = status_log(sink) if isinstance(sink, str) else sink
+    # The batches call the newest status "status", whatever its column was called.
+    upsert = status_log(sink, key, ts, event_id) if isinstance(sink, str) else sink
     changed = live_latest(stream, key, ts, status, event_id)
     return changed.writeStream.outputMode("update").foreachBatch(upsert)

@@ -37,7 +37,7 @@ def test_no_pairing_and_no_python(spark, no_broadcast, name):
     assert "BroadcastHashJoin" not in text  # no broadcast is forced by a hint
 
 
-@pytest.mark.parametrize("name", BATCH)
+@pytest.mark.parametrize("name", [name for name in BATCH if name != "load_tables"])
 def test_scans_read_only_needed_columns(spark, name):
     widths = {"events": 6, "lineitem": 11, "orders": 6, "documents": 5}
     for schema in re.findall(r"ReadSchema: struct<(.*?)>", plan(spark, name)):
@@ -56,7 +56,6 @@ def test_scans_read_only_needed_columns(spark, name):
         ("source_readiness", "EqualTo(o_orderstatus,P)"),
         ("return_reasons", "EqualTo(l_returnflag,R)"),
         ("timeline_overlap", "EqualTo(event_type,view)"),
-        ("queue_position", "IsNotNull(o_orderpriority)"),
     ],
 )
 def test_filters_reach_the_scan(spark, name, pushed):
@@ -110,13 +109,42 @@ def test_funnel_shuffles_rows_once_and_slices_once(spark):
 
 @pytest.mark.parametrize("name", ["merge_intervals", "drilldown"])
 def test_input_is_read_and_shuffled_once(spark, no_broadcast, name):
-    df = QUERIES[name](spark, FOLDER)
+    excerpts = std.excerpts(spark, FOLDER)
+    df = {
+        "drilldown": lambda: QUERIES[name](spark, FOLDER),
+        "merge_intervals": lambda: ops.merge_intervals(
+            excerpts, "source_id", "start_s", "end_s", slice_width=3600
+        ),
+    }[name]()
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in final
     assert final.count("FileScan") == 1
 
 
+def test_time_slices_of_a_queue_need_no_table(spark):
+    waiting = std.content(spark, FOLDER)
+    placed = ops.queue_position(waiting, "queue", "created_at", "content_id", slice_minutes=1440)
+    text = placed._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(o_orderpriority)" in text
+    assert "/slices-" not in text
+
+
+@pytest.mark.parametrize("name", ["queue_position", "status_history", "merge_intervals"])
+def test_sliced_queries_go_on_from_the_slices(spark, name):
+    """The tables are read while the slices are written, and not again for the totals."""
+    text = plan(spark, name)
+    assert "/slices-" in text
+    assert not re.search(r"/(orders|events)\.parquet", text)
+
+
+def test_returned_items_are_counted_in_one_pass(spark, no_broadcast):
+    df = QUERIES["return_reasons"](spark, FOLDER)
+    _, final = final_plan(df)
+    assert final.count("FileScan") == 2
+    assert "ReusedExchange" in final
+
+
 @pytest.mark.parametrize("name", ["status_history", "queue_position", "shared_capacity_check"])
 def test_windowed_rows_are_sorted_once(spark, no_broadcast, name):
     """The join that brings the carry adds no exchange or sort above the window."""

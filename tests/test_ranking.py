@@ -56,4 +56,6 @@ def test_drilldown_has_both_levels(scores):
     ]
     assert result.where("level = 'key'").count() == 5
     with pytest.raises(ValueError):
-        ops.drilldown(scores, "grp", "key", {"x": ("avg", "value")})
+        ops.drilldown(scores, "grp", "key", {"x": ("median", "value")})
+    means = ops.drilldown(scores, "grp", "key", {"mean": ("avg", "value")})
+    assert rows_of(means.where("level = 'grp'")) == [("grp", "a", None, 17 / 3), ("grp", "b", None, 1.0)]

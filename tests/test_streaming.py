@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from airloom.streaming import latest_status, live_counts, live_dedup, live_status, run_to_end
+from airloom.streaming import latest_status, live_counts, live_dedup, live_status, run_to_end, status_log
 from tests.conftest import rows_of
 
 DDL = "event_id bigint, ts timestamp_ntz, user_id bigint, status string"
@@ -110,3 +112,20 @@ def test_status_takes_any_upsert_function(spark, feed, tmp_path):
     stream = feed([(1, "2024-01-01 10:00:00", 1, "a")], [(2, "2024-01-01 11:00:00", 1, "b")])
     run_to_end(live_status(stream, "user_id", "ts", upsert), str(tmp_path / "checkpoint"))
     assert seen == {1: "b"}
+
+
+def test_the_status_log_is_compacted_and_may_repeat_an_epoch(spark, tmp_path):
+    log = str(tmp_path / "log")
+    write = status_log(log, "user_id", block=2)
+    kind = "user_id bigint, ts timestamp, event_id bigint, status string"
+    for epoch in range(9):
+        # User 100 changes in the first epoch only, user 1 in each.
+        rows = [(1, datetime(2024, 1, 1, epoch), epoch, f"s{epoch}")]
+        rows += [(100, datetime(2024, 1, 1), 50, "kept")] if epoch == 0 else []
+        batch = spark.createDataFrame(rows, kind)
+        for _ in range(2 if epoch in (3, 4, 6) else 1):
+            write(batch, epoch)
+        newest = latest_status(spark, log, "user_id").select("user_id", "status")
+        assert rows_of(newest) == [(1, f"s{epoch}"), (100, "kept")]
+    whole = spark.read.option("recursiveFileLookup", "true").parquet(log)
+    assert whole.count() == 2 + 2 + 2 + 1  # two bases, the epochs of block 3 and epoch 8

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from airloom import operators as ops
 from tests.conftest import rows_of
@@ -144,6 +145,16 @@ def test_linked_programs_in_order_and_in_pages(frame):
     }
 
 
+def test_links_at_one_position_are_paged(spark):
+    content = spark.createDataFrame([(1,)], "content_id bigint")
+    numbers = spark.range(5000).select(F.col("id").alias("program_id"))
+    links = numbers.select(F.lit(1).alias("content_id"), "program_id", F.lit(1).alias("ord"))
+    pages = ops.linked_programs(content, links, numbers, page_size=100).collect()
+    assert {row.page: [p.program_id for p in row.programs] for row in pages} == {
+        page: list(range(100 * page, 100 * page + 100)) for page in range(50)
+    }
+
+
 def test_expand_batch(frame):
     df = frame([(1, 2), (2, 0), (3, None)], "blogger_id bigint, k int")
     assert rows_of(ops.expand_batch(df, df.k).select("blogger_id", "slot")) == [(1, 1), (1, 2)]

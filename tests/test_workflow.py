@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airloom import operators as ops
+from airloom.operators.slices import SLICE, in_slices
 from tests.conftest import rows_of
 
 STATUS = "content_id bigint, ts timestamp_ntz, event_id bigint, status string"
@@ -27,7 +28,7 @@ def test_capacity_exact_fit_short_none_and_duplicates(frame):
     ]
 
 
-@pytest.mark.parametrize("slice_width", [1, 7, 1000])
+@pytest.mark.parametrize("slice_width", [None, 1, 7, 1000])
 def test_shared_pool_marks_the_first_overflow(frame, slice_width):
     rng = random.Random(slice_width)
     rows = [
@@ -82,7 +83,7 @@ def test_batch_progress(frame):
     assert rows_of(ops.batch_progress(df, "batch", "ord", "done"))[0][3] == 2
 
 
-@pytest.mark.parametrize("slice_minutes", [1, 60, 100000])
+@pytest.mark.parametrize("slice_minutes", [None, 1, 60, 100000])
 def test_queue_position_over_slices(frame, slice_minutes):
     rng = random.Random(1)
     start = datetime(2024, 1, 1)
@@ -103,7 +104,7 @@ def test_queue_position_over_slices(frame, slice_minutes):
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
-@pytest.mark.parametrize("slice_minutes", [1, 60, 100000])
+@pytest.mark.parametrize("slice_minutes", [None, 1, 60, 100000])
 def test_history_crosses_slices(frame, slice_minutes):
     rng = random.Random(2)
     start = datetime(2024, 1, 1)
@@ -262,3 +263,45 @@ def test_zoned_times_work_too(frame):
     ]
     with pytest.raises(ValueError):
         ops.queue_position(zoned.withColumn("ts", F.lit("x")), "status", "ts", "event_id")
+
+
+def test_one_instant_of_one_queue_is_numbered_by_several_tasks(spark):
+    # 30,000 items queued at once, with keys a million apart.
+    waiting = spark.range(30_000).select(
+        (F.col("id") * 1_000_000).alias("key"),
+        F.lit("hot").alias("queue"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("queued_at"),
+    )
+    cut = in_slices(waiting, ["queue"], ["queued_at", "key"])
+    sizes = [row["count"] for row in cut.groupBy(SLICE).count().collect()]
+    assert len(sizes) >= 6
+    assert max(sizes) < 10_000
+    placed = ops.queue_position(waiting, "queue", "queued_at", "key")
+    assert placed.where("position * 1000000 - 1000000 = key").count() == 30_000
+
+
+def test_shared_pool_with_sparse_keys_has_few_slices(spark):
+    demand = spark.range(20_000).select(
+        F.lit(1).alias("pool"),
+        F.lit(1).alias("priority"),
+        (F.col("id") * 1_000_000).alias("key"),
+        F.lit(1).alias("n"),
+    )
+    supply = spark.range(15_000).select(F.lit(1).alias("pool"), F.col("id").alias("item_id"))
+    checked = ops.shared_capacity_check(demand, supply, "pool", "priority", "key")
+    found = checked.agg(
+        F.count_if(F.col("running_need") * 1_000_000 == F.col("key") + 1_000_000).alias("right"),
+        F.count_if("fits").alias("fits"),
+        F.sum(F.when(F.col("overflows"), F.col("running_need"))).alias("first"),
+    ).first()
+    assert tuple(found) == (20_000, 15_000, 15_001)
+    cut = in_slices(demand, ["pool"], ["priority", "key"])
+    assert 6 <= cut.select(SLICE).distinct().count() <= 8
+
+
+def test_returned_items_without_reasons_count_in_the_base(frame):
+    df = frame(
+        [(1, ["a", "b", "a"]), (1, ["a"]), (2, []), (3, None), (4, [None, "b"]), (None, ["a"])],
+        "item bigint, reasons array<string>",
+    )
+    assert rows_of(ops.return_reasons(df, "item", "reasons")) == [("a", 1, 0.25), ("b", 2, 0.5)]
