@@ -316,11 +316,12 @@ def return_reasons(df: DataFrame, item: str, reasons: str) -> DataFrame:
     counts = (
         df.select(item, F.explode(marked).alias("reason"))
         .groupBy("reason")
-        .agg(F.count_distinct(item).alias("items"))
+        .agg(F.count_distinct(item).alias("items"), F.max(F.col("reason").isNotNull()).alias("_named"))
     )
-    # The same aggregation, not a filtered one, so that its exchange is used again.
-    returned = counts.agg(F.max(F.when(F.col("reason").isNull(), F.col("items")))).scalar()
-    return counts.withColumn("share", F.col("items") / returned).where(F.col("reason").isNotNull())
+    # Both sides tell the base by an aggregate, which no filter is pushed below: the aggregation is
+    # the same, and its exchange is used again.
+    returned = counts.agg(F.max(F.when(~F.col("_named"), F.col("items")))).scalar()
+    return counts.where("_named").withColumn("share", F.col("items") / returned).drop("_named")
 
 
 def content_profile(

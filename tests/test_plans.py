@@ -141,8 +141,8 @@ def test_sliced_queries_go_on_from_the_slices(spark, name):
 def test_returned_items_are_counted_in_one_pass(spark, no_broadcast):
     df = QUERIES["return_reasons"](spark, FOLDER)
     _, final = final_plan(df)
-    assert final.count("FileScan") == 2
-    assert "ReusedExchange" in final
+    # The base is made of the aggregation by reason, below which nothing is computed again.
+    assert re.search(r"ReusedExchange \[reason", final)
 
 
 @pytest.mark.parametrize("name", ["status_history", "queue_position", "shared_capacity_check"])
