@@ -14,6 +14,7 @@ from airloom.llm.leaks import leaked_excerpts
 from airloom.llm.licences import licence_scan
 from airloom.llm.mixing import mix_bloggers
 from airloom.llm.paragraphs import repeated_paragraphs
+from airloom.llm.passages import repeated_passages
 from airloom.llm.quality import quality_rules
 from airloom.llm.sharding import stratified_shards
 from airloom.llm.simhash import as_hex, near_duplicates
@@ -94,7 +95,10 @@ def op6_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_repeated_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return repeated_paragraphs(records.scripts(spark, folder)).select(
+    content = records.scripts(spark, folder)
+    lines = repeated_paragraphs(content).withColumn("part", F.lit("line"))
+    passages = repeated_passages(content).drop("length").withColumn("part", F.lit("passage"))
+    return lines.unionByName(passages).select(
         F.col("content_id").alias("doc_id"),
         "paragraph",
         "start",
@@ -103,6 +107,7 @@ def op7_repeated_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
         "class_paragraph",
         "n_paragraphs",
         "removed",
+        "part",
     )
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airloom.llm import archives, languages, leaks, mixing, paragraphs, quality, sharding, votes
+from airloom.llm import archives, languages, leaks, mixing, paragraphs, passages, quality, sharding, votes
 from airloom.llm.licences import MARKS, SENTENCES, licence_scan
 from airloom.llm.queries import QUERIES
 
@@ -304,6 +304,75 @@ def test_bands_are_tuned_for_recall():
     assert paragraphs.band_rows(0.01, 64, 0.999) == 1
 
 
+# Passages
+
+
+def plain_repeats(rows, n=50):
+    """``(id, word)`` of every word in a window of ``n`` words that stands at an earlier place."""
+    first, found, where = {}, {}, {}
+    for id_, text in sorted((r for r in rows if r[1]), key=lambda r: (r[0] is not None, r[0])):
+        cut = text.lower().split()
+        for i in range(len(cut) - n + 1):
+            window = tuple(cut[i : i + n])
+            if window not in first:
+                first[window] = (id_, i)
+                continue
+            other, j = first[window]
+            found.setdefault(id_, set()).update(range(max(i, j + n) if other == id_ else i, i + n))
+    return found
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(1)
+    shared = [words(rng, n, 10**6) for n in (50, 54, 60, 130, 400)]
+    rows = []
+    for id_ in range(60):
+        parts = words(rng, rng.randrange(90), 10**6)
+        for _ in range(rng.randrange(3)):
+            part = rng.choice(shared)
+            cut = rng.randrange(len(part) - 30) if rng.random() < 0.5 else 0
+            parts += part[cut:] + words(rng, rng.randrange(70), 10**6)
+        ends = [rng.choice([" ", " ", "\n", "\t", "é "]) if rng.random() < 0.3 else " " for _ in parts]
+        rows.append((id_, "".join(a + b for a, b in zip(parts, ends, strict=True)).replace("é", "")))
+    # Hard-wrapped below 20 words a line; mid-line; periods; copies; a place before and after.
+    rows += [
+        (100, "\n".join(" ".join(shared[3][i : i + 9]) for i in range(0, 130, 9))), (101, "É " * 300), (102, "a b c\n" * 100),
+        (103, rows[0][1].upper() + " x" * 60), (104, rows[7][1]), (105, " \n" + rows[7][1]), (106, None), (107, ""),
+        (None, " ".join(words(rng, 20, 10**6) + shared[4])), (108, " ".join(words(rng, 2, 10**6) + shared[0])),
+        (109, " ".join(shared[1]) + " and " + " ".join(shared[1])),
+    ]
+    content = spark.createDataFrame(rows, "content_id long, script string").withColumn("key", F.lit(1))
+    found = passages.repeated_passages(content).collect()
+    text_of, got = dict(rows), {}
+    for r in found:
+        text = text_of[r.content_id]
+        piece = text[r.start : r.start + r.length]
+        assert len(piece.split()) == r.n_words and text[: r.start].count("\n") == r.paragraph
+        assert piece == piece.strip() and r.n_paragraphs > 1
+        if r.removed:
+            before = len(text[: r.start].split())
+            got.setdefault(r.content_id, set()).update(range(before, before + r.n_words))
+        else:
+            assert (r.content_id, r.paragraph) == (r.class_content_id, r.class_paragraph) and r.n_words >= 50
+    assert got == plain_repeats(rows)
+    places = {(r.content_id, r.class_content_id) for r in found}
+    assert all(any(r.content_id == c and not r.removed for r in found) for _, c in places)
+    cleaned = {r.content_id: r.script for r in passages.without_passages(content, passages.repeated_passages(content)).collect()}
+    for id_, text in rows:
+        kept = None if text is None else [w for i, w in enumerate(text.split()) if id_ is None or i not in got.get(id_, ())]
+        assert kept == (None if text is None else cleaned[id_].split())
+
+
+def test_query_finds_passages_within_lines(spark, tmp_path):
+    rng = random.Random(2)
+    shared = words(rng, 54, 10**6)
+    rows = [(i, " ".join([*words(rng, 80, 10**6), *shared, *words(rng, 60, 10**6)]), "en", "s", 1) for i in (1, 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in QUERIES["op7_repeated_paragraphs"](spark, str(tmp_path)).collect()}
+    assert {(r.doc_id, r.n_words, r.class_doc_id, r.removed) for r in found.values()} == {(1, 54, 1, False), (2, 54, 1, True)}
+    assert found[2].start == rows[1][1].index(" ".join(shared))
+
+
 # Languages
 
 
