@@ -23,10 +23,11 @@ from airloom.llm.common import written
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
-HEAD_BYTES = 1 << 16
 CHUNK = 1 << 16
 BATCH_BYTES = 1 << 23
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+#: The end of headers, or a line that begins the next record before it.
+_STOP = re.compile(rb"\r\n\r\n|\r\n(?=WARC/1\.[01]\r\n)")
 SCHEMA = (
     "archive string, offset bigint, length bigint, gap string, record_type string, "
     "record_id string, target_uri string, refers_to string, payload_digest string, "
@@ -138,12 +139,24 @@ class Record:
     size: int = field(default=0)
 
 
-def parse_record(data: bytes, at: int = 0) -> Record:
-    """The record that starts at ``at``, with its length in the archive; checks it in full."""
+def _head_end(data: bytes, at: int, known: list[int]) -> int:
+    """Where the headers around ``at`` end, or -1; ``known`` is the last search, valid up to its end."""
+    if not known or not known[0] <= at <= known[1]:
+        stop = _STOP.search(data, at)
+        known[:] = [at, stop.start(), stop.end()] if stop else [at, len(data), len(data)]
+    return known[1] if known[2] - known[1] == len(END) else -1
+
+
+def parse_record(data: bytes, at: int = 0, known: list[int] | None = None) -> Record:
+    """The record that starts at ``at``, with its length in the archive; checks it in full.
+
+    Headers may have any length. ``known`` keeps the last search for their end, so that an archive
+    with many false version lines is not searched again from each.
+    """
     start = _START.match(data, at)
     if not start or data[at] == 0x1F:
         raise Damaged("no version line")
-    end = data.find(END, at, at + HEAD_BYTES)
+    end = _head_end(data, start.end() - 2, [] if known is None else known)
     if end < 0:
         raise Damaged("no end of headers")
     headers = _headers(data[start.end() : end])
@@ -212,10 +225,10 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, Record | None]]
     After a record or member that fails a check, the next version line or member is searched at
     which a record passes all of them; what lies between is a gap, with the check that failed.
     """
-    at, gap, reason = 0, None, None
+    at, gap, reason, known = 0, None, None, []
     while at < len(data):
         try:
-            record = parse_member(data, at) if data[at] == 0x1F else parse_record(data, at)
+            record = parse_member(data, at) if data[at] == 0x1F else parse_record(data, at, known)
         except Damaged as error:
             if gap is None:
                 gap, reason = at, str(error)

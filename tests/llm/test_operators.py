@@ -200,6 +200,28 @@ def test_damaged_archives_in_spark(spark, tmp_path):
     assert len(rows) == 4
 
 
+@pytest.mark.parametrize("pack", [b"".join, archives.compressed])
+def test_headers_of_any_length(spark, tmp_path, pack):
+    url = "data:text/html," + "x" * 100_000
+    rows = spark.createDataFrame([(1, url, "a"), (2, "http://x/WARC/1.1", "b")], "page_id long, url string, html string")
+    archives.write_archives(rows, f"{tmp_path}/w")
+    found = {archives_id(r.record_id): r for r in archives.read_archives(spark, f"{tmp_path}/w").collect()}
+    assert found[1].gap is None and found[1].target_uri == url and found[1].payload == b"a"
+    assert found[2].gap is None and found[2].target_uri == "http://x/WARC/1.1"
+    # Foreign headers may be long as well, and a head that is cut off does not swallow the next record.
+    long = one_record(3).replace(b"Content-Type", b"X-Long: " + b"y" * 200_000 + b"\r\nContent-Type", 1)
+    cut = b"WARC/1.1\r\nWARC-Type: response\r\n"
+    parts = list(archives.salvage(pack([long]) + cut + pack([one_record(4)])))
+    assert [(gap is None, r and archives_id(r.headers["warc-record-id"])) for _, _, gap, r in parts] == [
+        (True, 3), (False, None), (True, 4),
+    ]
+
+
+def test_false_version_lines_are_searched_once():
+    data = b"xWARC/1.1\r\n" * 200_000 + one_record(1)
+    assert [gap is None for _, _, gap, _ in archives.salvage(data)] == [False, True]
+
+
 def test_query_reads_back_every_page(spark):
     found = {r.page_id: r for r in QUERIES["op5_warc_salvage"](spark, "/root/testdata/sf0.001").collect()}
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
