@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,10 @@ def _split(text: str | None, min_words: int) -> Iterator[tuple[int, int, list[by
         start += len(line) + 1
 
 
+#: ``(text, min_words)`` to the paragraphs to compare.
+Split = Callable[[str | None, int], Iterator[tuple[int, int, list[bytes]]]]
+
+
 def _key(words: list[bytes]) -> int:
     value = xxhash.xxh3_64_intdigest(b" ".join(words))
     return value - (1 << 64) if value >> 63 else value
@@ -80,6 +84,7 @@ def paragraph_bands(
     script: str = "script",
     min_words: int = MIN_WORDS,
     rows: int = 4,
+    split: Split = _split,
 ) -> DataFrame:
     """``(content_id, paragraph, start, n_words, key, bands)`` for the lines with ``min_words``.
 
@@ -108,7 +113,7 @@ def paragraph_bands(
         for batch in batches:
             found, words_in = [], 0
             for id_, text in zip(batch.column(0), batch.column(1), strict=True):
-                for number, start, words in _split(text.as_py(), min_words):
+                for number, start, words in split(text.as_py(), min_words):
                     key = _key(words)
                     found.append((id_.as_py(), number, start, len(words), key, _shingles(words)))
                     words_in += len(words)
@@ -125,7 +130,9 @@ def paragraph_bands(
     )
 
 
-def _shingle_sets(content: DataFrame, script: str, keys: DataFrame, min_words: int) -> DataFrame:
+def _shingle_sets(
+    content: DataFrame, script: str, keys: DataFrame, min_words: int, split: Split
+) -> DataFrame:
     """``(key, shingles)`` of the wanted paragraphs, each once; shingles as a sorted set."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +140,7 @@ def _shingle_sets(content: DataFrame, script: str, keys: DataFrame, min_words: i
             found = {
                 _key(words): b" ".join(words)
                 for text in batch.column(0)
-                for _, _, words in _split(text.as_py(), min_words)
+                for _, _, words in split(text.as_py(), min_words)
             }
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())],
@@ -207,33 +214,16 @@ def _prefix_pairs(sets: DataFrame, classes: DataFrame, similarity: float) -> Dat
     )
 
 
-def repeated_paragraphs(
+def linked(
+    found: DataFrame,
     content: DataFrame,
-    content_id: str = "content_id",
-    script: str = "script",
-    similarity: float = SIMILARITY,
-    min_words: int = MIN_WORDS,
-    paired: int = PAIRED,
+    script: str,
+    similarity: float,
+    min_words: int,
+    paired: int,
+    split: Split,
 ) -> DataFrame:
-    """Every paragraph (line of ``min_words`` words or more) that has a copy or near copy.
-
-    ``(content_id, paragraph, start, n_words, class_content_id, class_paragraph, n_paragraphs,
-    removed)``: lines are counted from 0, ``start`` is the first character's place, and a class is
-    named by its first paragraph in order of id and line, the only one that is not ``removed``.
-
-    Paragraphs are near copies if the Jaccard similarity of their shingles of five words is
-    ``similarity`` or more, and classes are the components of that relation. Equal texts are one
-    text from the start. Texts meet in MinHash bands, with as many rows per band as still find a
-    pair at the threshold with probability 0.999. Bands with up to ``paired`` texts are compared
-    pair by pair. The texts of fuller bands are compared with the one of them that meets most; once that has
-    made classes, texts of bands that still hold several classes are joined on their rarest
-    shingles, across classes only, which finds every remaining link without all pairs.
-
-    Rows that repeat an id and paragraph are one paragraph; NULL ids are ids in order before
-    others. NULL and empty scripts have no paragraphs. Other columns are left out.
-    """
-    rows = band_rows(similarity, HASHES, RECALL)
-    found = written(paragraph_bands(content, content_id, script, min_words, rows), "paragraph-bands")
+    """``(key, class)`` of the texts of ``found`` that have a near copy; see :func:`repeated_paragraphs`."""
     banded = found.select("key", F.posexplode("bands").alias("number", "band")).select(
         F.xxhash64("number", "band").alias("band"), "key"
     )
@@ -249,7 +239,7 @@ def repeated_paragraphs(
     sizes = written(shared.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "paragraph-sizes")
     members = written(shared.drop("first").join(sizes, "band"), "paragraph-members")
     sets = written(
-        _shingle_sets(content, script, members.select("key").distinct(), min_words), "paragraph-sets"
+        _shingle_sets(content, script, members.select("key").distinct(), min_words, split), "paragraph-sets"
     )
     small = members.where(F.col("n") <= paired).select("band", "key")
     pairs = (
@@ -303,6 +293,37 @@ def repeated_paragraphs(
         classes = written(
             connected_components(links.unionByName(further)), "paragraph-classes"
         ).select(F.col("node").alias("key"), F.col("component").alias("class"))
+    return classes
+
+
+def repeated_paragraphs(
+    content: DataFrame,
+    content_id: str = "content_id",
+    script: str = "script",
+    similarity: float = SIMILARITY,
+    min_words: int = MIN_WORDS,
+    paired: int = PAIRED,
+) -> DataFrame:
+    """Every paragraph (line of ``min_words`` words or more) that has a copy or near copy.
+
+    ``(content_id, paragraph, start, n_words, class_content_id, class_paragraph, n_paragraphs,
+    removed)``: lines are counted from 0, ``start`` is the first character's place, and a class is
+    named by its first paragraph in order of id and line, the only one that is not ``removed``.
+
+    Paragraphs are near copies if the Jaccard similarity of their shingles of five words is
+    ``similarity`` or more, and classes are the components of that relation. Equal texts are one
+    text from the start. Texts meet in MinHash bands, with as many rows per band as still find a
+    pair at the threshold with probability 0.999. Bands with up to ``paired`` texts are compared
+    pair by pair. The texts of fuller bands are compared with the one of them that meets most; once that has
+    made classes, texts of bands that still hold several classes are joined on their rarest
+    shingles, across classes only, which finds every remaining link without all pairs.
+
+    Rows that repeat an id and paragraph are one paragraph; NULL ids are ids in order before
+    others. NULL and empty scripts have no paragraphs. Other columns are left out.
+    """
+    rows = band_rows(similarity, HASHES, RECALL)
+    found = written(paragraph_bands(content, content_id, script, min_words, rows), "paragraph-bands")
+    classes = linked(found, content, script, similarity, min_words, paired, _split)
     places = found.groupBy("key").agg(
         F.min(F.struct("content_id", "paragraph")).alias("first"), F.count(F.lit(1)).alias("n")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -244,15 +244,18 @@ def near_duplicates(
 
 
 def one_of_each(
-    content: DataFrame, content_id: str = "content_id", script: str = "script"
+    content: DataFrame,
+    content_id: str = "content_id",
+    script: str = "script",
+    components: Callable[[DataFrame, str, str], DataFrame] = near_duplicates,
 ) -> DataFrame:
-    """``content`` with one item of each component of :func:`near_duplicates`, that of smallest id.
+    """``content`` with one item of each component (of :func:`near_duplicates`), that of smallest id.
 
     An id stays if it is the smallest of a component of any of its rows; rows that repeat an id
     and its script stay once. Rows without an id are never removed. Only ids are joined; no
     fingerprint is computed twice.
     """
-    groups = written(near_duplicates(content, content_id, script), "simhash-classes")
+    groups = written(components(content, content_id, script), "simhash-classes")
     ids = written(
         groups.where(F.col("content_id").isNotNull())
         .groupBy(F.col("content_id").alias("_id"))

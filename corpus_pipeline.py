@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from airloom.llm import records
 from airloom.llm.leaks import without_leaks
 from airloom.llm.mixing import mix_bloggers
+from airloom.llm.near import near_copies
 from airloom.llm.sharding import stratified_shards
 from airloom.llm.simhash import one_of_each
 from airloom.llm.votes import fit_votes, quality_votes
@@ -30,7 +31,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of smallest id."""
-    return one_of_each(docs, **NAMES)
+    return one_of_each(docs, **NAMES, components=near_copies)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

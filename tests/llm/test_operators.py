@@ -7,11 +7,12 @@ import hashlib
 import itertools
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airloom.llm import archives, languages, leaks, mixing, paragraphs, passages, quality, sharding, votes
+from airloom.llm import archives, languages, leaks, mixing, paragraphs, passages, quality, sharding, simhash, votes
 from airloom.llm.licences import MARKS, SENTENCES, licence_scan
 from airloom.llm.queries import QUERIES
 
@@ -326,6 +327,26 @@ def test_bands_are_tuned_for_recall():
     assert paragraphs.band_rows(0.01, 64, 0.999) == 1
 
 
+# Near copies
+
+
+def test_pipeline_drops_near_copies_that_simhash_misses(spark):
+    rng = random.Random(5)
+    rows = []
+    for group in range(15):
+        base = words(rng, 100, 10**6)
+        for n in range(3):
+            copy = list(base)
+            if n:
+                copy[rng.randrange(10, 90)] = f"new{n}"
+            rows.append((group * 3 + n, " ".join(copy)))
+    rows += [(None, rows[0][1]), (100, ""), (101, None), (102, "two words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, "").collect()}
+    assert kept == {*range(0, 45, 3), None, 100, 102}
+    assert len(simhash.one_of_each(docs, **corpus_pipeline.NAMES).collect()) > len(kept)
+
+
 # Passages
 
 
