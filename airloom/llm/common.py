@@ -14,14 +14,14 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 HASH_BITS = 60
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and safe from lost executors.
 
     A join then sees the true size of a small table, so that Spark's own size check decides
     whether it is broadcast, and both sides of a shuffled join can be split where they are skewed.
     """
     folder = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -8,20 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airloom.llm import records
+from airloom.llm.alignment import aligned_scripts, link_counts, link_strengths, token_groups
 from airloom.llm.archives import page_of, read_archives, write_archives
 from airloom.llm.languages import fit_languages, script_languages
 from airloom.llm.leaks import leaked_excerpts
 from airloom.llm.licences import licence_scan
+from airloom.llm.loops import script_loops
 from airloom.llm.mixing import mix_bloggers
 from airloom.llm.paragraphs import repeated_paragraphs
 from airloom.llm.passages import repeated_passages
 from airloom.llm.quality import quality_rules
+from airloom.llm.related import related_by_features
 from airloom.llm.sharding import stratified_shards
 from airloom.llm.simhash import as_hex, near_duplicates
 from airloom.llm.votes import fit_votes, quality_votes
 from airloom.session import shared_folder
 from airloom.sources import load_table
 
+TOKENIZERS = "/opt/tokenizers"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -146,6 +151,51 @@ def op10_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_related_by_features(spark: SparkSession, folder: str) -> DataFrame:
+    items = records.featured(spark, folder)
+    return related_by_features(items, F.col("item_id") % 20 == 0, 20).select(
+        F.col("item_id").alias("query_id"), "rank", F.col("related_item_id").alias("vec_id"), "score"
+    )
+
+
+def op12_script_loops(spark: SparkSession, folder: str) -> DataFrame:
+    loops = script_loops(records.looped(records.scripts(spark, folder)))
+    listed = F.transform("loops", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return loops.select(
+        F.col("content_id").alias("doc_id"),
+        F.size("loops").cast("bigint").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_alignment(
+    spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS
+) -> DataFrame:
+    aligned = aligned_scripts(
+        records.scripts(spark, folder),
+        f"{tokenizers}/byte_bpe_50k.json",
+        f"{tokenizers}/piece_bpe_32k.model",
+    )
+    strengths = link_strengths(aligned, link_counts(aligned))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    groups = token_groups(aligned).withColumn("groups_sha256", digest).drop("groups")
+    return groups.join(strengths, "row").select(
+        F.col("content_id").alias("doc_id"),
+        "n_a",
+        "n_b",
+        "n_groups",
+        "n_links",
+        "n_best",
+        "count_sum",
+        "groups_sha256",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_groups": op2_simhash_groups,
@@ -157,4 +207,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_mixture": op8_language_mixture,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_votes": op10_quality_votes,
+    "op11_related_by_features": op11_related_by_features,
+    "op12_script_loops": op12_script_loops,
+    "op13_token_alignment": op13_token_alignment,
 }
