@@ -133,6 +133,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hits USING (id) LEFT JOIN named USING (id)
 """
 
+_OP11 = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS k, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT q.k, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(
+    range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.k <> c.k WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 20
+"""
+
 def _licence_sql() -> str:
     known = ", ".join(f"('{sentence}', '{name}')" for sentence, name in SENTENCES.items())
     steps, left = [], "r"
@@ -217,4 +233,5 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": _OP4,
     "op6_licence_scan": _licence_sql(),
     "op9_mix_sources": _OP9,
+    "op11_related_by_features": _OP11,
 }

@@ -22,11 +22,12 @@ HEADS = 16
 WANTED_STEP, STEP = 512, 2_048
 #: Up to this, doubles hold whole numbers exactly.
 EXACT = 2.0**53
+BIGINT = -(2**63), 2**63 - 1
 
 
 def related_by_features(
     items: DataFrame,
-    wanted: Column,
+    wanted: Column | str,
     m: int = 20,
     item: str = "item_id",
     features: str = "features",
@@ -36,7 +37,8 @@ def related_by_features(
     """The ``m`` items with the largest inner product, for each item that is ``wanted``.
 
     ``(item, rank, related_item, score)``. ``items`` are catalogue entries with an array of numbers
-    (say, weights of their tags, or figures of their effect); ``wanted`` is a condition on them.
+    (say, weights of their tags, or figures of their effect); ``wanted`` is a condition on them,
+    NULL being false.
     Features count in whole steps, ``floor(steps * x)``, so scores are exact whole numbers.
     Ties go to the smaller item, NULL last. An item is not related to its own row; repeated rows
     are items of their own, and so is a row without an id.
@@ -77,11 +79,11 @@ def related_by_features(
     )
 
 
-def _vectors(items: DataFrame, wanted: Column, item: str, features: str, steps: int) -> DataFrame:
+def _vectors(items: DataFrame, wanted: Column | str, item: str, features: str, steps: int) -> DataFrame:
     """``(_key, _item, _wanted, _vector, _length)`` of all vectors that take part."""
     rows = items.select(
         F.col(item).alias("_item"),
-        F.coalesce(wanted, F.lit(False)).alias("_wanted"),
+        F.coalesce(F.expr(wanted) if isinstance(wanted, str) else wanted, F.lit(False)).alias("_wanted"),
         F.col(features).cast("array<double>").alias("_vector"),
     )
     infinite = F.lit(math.inf)
@@ -264,6 +266,8 @@ def _best_of(
         near = (most >= least[active][:, None]) & (ours.key[active][:, None] != part.key)
         new_row, new_other, new_score = _multiplied(ours.vector[active], part.vector, near, m)
         new_row, new_other = active[new_row], new_other + start
+        if kind == object:
+            new_score = np.clip(new_score, *BIGINT)
         good = new_score >= np.nextafter(reached, -np.inf)[new_row]
         row = np.concatenate([row, new_row[good]])
         other = np.concatenate([other, new_other[good]])
@@ -279,8 +283,7 @@ def _best_of(
         reached[full] = np.maximum(reached[full], score[firsts[full] + m - 1].astype(np.float64))
         kept = np.arange(len(row)) - firsts[row] < m
         row, other, score = row[kept], other[kept], score[kept]
-    limit = np.iinfo(np.int64)
-    return row, np.clip(score, limit.min, limit.max) if kind == object else score, other
+    return row, score, other
 
 
 def _multiplied(
