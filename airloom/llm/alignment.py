@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,9 +35,10 @@ NEXT_A, NEXT_B = 1, 2
 class ByteTokens:
     """The tokenizer of a byte-level BPE file, from the bytes of the file.
 
-    Runs on ``tiktoken`` with the file's vocabulary where that gives the same tokens: plain
-    byte-level cutting, and merges in the order of the ids. Any other file runs on ``tokenizers``.
-    Special tokens are not looked for: their text is plain text.
+    ``encode`` puts a space before the texts. Special tokens are not looked for: their text is
+    plain text. Runs on ``tiktoken`` with the file's vocabulary where that gives the same
+    tokens: plain byte-level cutting, and merges in the order of the ids. Any other file runs on
+    ``tokenizers``.
     """
 
     def __init__(self, file: bytes) -> None:
@@ -54,18 +56,22 @@ class ByteTokens:
             cutting.get("type"), cutting.get("add_prefix_space"), cutting.get("use_regex", True)
         ) == ("ByteLevel", False, True)
         single = sorted(number for text, number in vocabulary.items() if len(text) == 1)
-        if plain and ids == sorted(set(ids)) and single == list(range(256)) and len(ids) + 256 == len(vocabulary):
+        ordered = ids == sorted(set(ids)) and single == list(range(256)) and len(ids) + 256 == len(vocabulary)
+        if plain and ordered:
             ranks = {self.bytes[number]: number for number in vocabulary.values()}
             encoding = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda texts: [encoding.encode_ordinary(text) for text in texts]
+            self.encode = lambda texts: [encoding.encode_ordinary(f" {text}") for text in texts]
         else:
             tokenizer = tokenizers.Tokenizer.from_str(file.decode())
             tokenizer.encode_special_tokens = True
-            self.encode = lambda texts: [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+            self.encode = lambda texts: [tokenizer.encode(f" {text}", add_special_tokens=False).ids for text in texts]
 
 
 class PieceTokens:
-    """The tokenizer of a SentencePiece model, from the bytes of the file."""
+    """The tokenizer of a SentencePiece model, from the bytes of the file.
+
+    The model itself puts the space before the texts.
+    """
 
     def __init__(self, file: bytes) -> None:
         model = sentencepiece.SentencePieceProcessor(model_proto=file)
@@ -76,6 +82,33 @@ class PieceTokens:
         self.encode = lambda texts: model.encode(texts, num_threads=1)
 
 
+class _Side:
+    """A tokenizer, and the bytes of its tokens one after the other."""
+
+    def __init__(self, tokens: ByteTokens | PieceTokens) -> None:
+        self.encode = tokens.encode
+        self.lengths = np.fromiter(map(len, tokens.bytes), np.int64, len(tokens.bytes))
+        self.bytes = np.frombuffer(b"".join(tokens.bytes), np.uint8)
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        found = self.encode(texts)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())), counts
+
+    def spelled(self, ids: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Which texts the bytes of their tokens spell, with the space before."""
+        lengths = self.lengths[ids]
+        first = (np.cumsum(self.lengths) - self.lengths)[ids] - (np.cumsum(lengths) - lengths)
+        spelled = self.bytes[np.repeat(first, lengths) + np.arange(int(lengths.sum()))]
+        ends = np.cumsum(np.r_[0, lengths])[np.cumsum(counts)]
+        starts = np.r_[0, ends[:-1]]
+        whole = spelled.tobytes()
+        return np.array(
+            [whole[s:e] == b" " + text for s, e, text in zip(starts.tolist(), ends.tolist(), texts, strict=True)], bool
+        )
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter that byte-level vocabularies write for each byte: printable ones as they are."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -92,9 +125,10 @@ def aligned_scripts(
 ) -> DataFrame:
     """The tokens of every script by two tokenizers, and how they meet.
 
-    ``(row, content_id, a, b, steps)``: ``a`` are the ids of a space and the script by the
+    ``(row, content_id, a, b, steps, wide)``: ``a`` are the ids of a space and the script by the
     ``byte_bpe`` file, ``b`` those of the script by the ``piece_bpe`` model, which adds the space
-    itself. ``steps`` has an entry per link, that is for each pair of tokens whose byte ranges overlap, in order: 1
+    itself; packed, an id in two bytes, or in four where ``wide`` tells that the vocabularies are
+    larger. ``steps`` has a byte per link, that is for each pair of tokens whose byte ranges overlap, in order: 1
     for the next token of ``a``, 2 for the next of ``b``, 3 for the next of both. With 3 a group
     begins: where tokens of both sides end at the same byte. ``row`` is unique.
 
@@ -116,33 +150,36 @@ def aligned_scripts(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = ByteTokens(files[0]), PieceTokens(files[1])
+        sides = _Side(ByteTokens(files[0])), _Side(PieceTokens(files[1]))
+        wide = any(len(side.lengths) > 1 << 16 for side in sides)
         for batch in batches:
             texts = [text or b"" for text in batch.column(2).to_pylist()]
             for start, stop in chunks([len(text) for text in texts], CHUNK_BYTES):
-                columns = _aligned(texts[start:stop], *sides)
                 part = batch.slice(start, stop - start)
+                columns = [*_aligned(texts[start:stop], *sides, wide), pa.array([wide] * part.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *columns], ["row", "id", "a", "b", "steps"]
+                    [part.column(0), part.column(1), *columns], ["row", "id", "a", "b", "steps", "wide"]
                 )
 
-    schema = f"row bigint, id {kind}, a array<int>, b array<int>, steps array<tinyint>"
+    schema = f"row bigint, id {kind}, a binary, b binary, steps binary, wide boolean"
     aligned = rows.mapInArrow(run, schema).withColumnRenamed("id", content_id)
     return written(aligned, "aligned-scripts", compression="zstd")
 
 
-def _aligned(texts: list[bytes], one: ByteTokens, other: PieceTokens) -> list[pa.Array]:
+def _aligned(texts: list[bytes], one: _Side, other: _Side, wide: bool) -> list[pa.Array]:
     """``a``, ``b`` and ``steps`` of a chunk of scripts."""
-    a, b = _spelled(texts, one, other)
-    ids, counts, spans = [], [], []
-    for side, tokens in ((one, a), (other, b)):
-        lengths = np.fromiter(map(len, side.bytes), np.int64, len(side.bytes))
-        flat = np.fromiter((t for part in tokens for t in part), np.int64, sum(map(len, tokens)))
-        ids.append(flat)
-        counts.append(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+    readable = [text.decode(errors="replace") for text in texts]
+    tokens = [side.tokens(readable) for side in (one, other)]
+    good = np.fromiter(map(len, texts), np.int64, len(texts)) > 0
+    for side, (ids, counts) in zip((one, other), tokens, strict=True):
+        good &= side.spelled(ids, counts, texts)
+    tokens = [(ids[np.repeat(good, counts)], counts * good) for ids, counts in tokens]
+    spans = []
+    for side, (ids, counts) in zip((one, other), tokens, strict=True):
         # Both sides of a script have the same bytes, so one scale of bytes serves the whole chunk.
-        at = np.cumsum(lengths[flat]) - lengths[flat]
-        spans.append(pd.DataFrame({"script": np.repeat(np.arange(len(texts)), counts[-1]), "at": at, "token": np.arange(len(flat))}))
+        at = np.cumsum(side.lengths[ids]) - side.lengths[ids]
+        script = np.repeat(np.arange(len(texts)), counts)
+        spans.append(pd.DataFrame({"script": script, "at": at, "token": np.arange(len(ids))}))
     covered = [
         pd.merge_asof(left, right, on="at", by="script", suffixes=("", "_covering"))
         for left, right in (spans, spans[::-1])
@@ -150,54 +187,54 @@ def _aligned(texts: list[bytes], one: ByteTokens, other: PieceTokens) -> list[pa
     # Where both start at once, both directions find the same pair.
     again = np.isin(spans[1]["at"].to_numpy(), spans[0]["at"].to_numpy(), assume_unique=True)
     only = covered[1][~again]
-    at = np.concatenate([covered[0]["at"], only["at"]])
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(np.concatenate([covered[0]["at"], only["at"]]), kind="stable")
     links = [
         np.concatenate([covered[0][x], only[y]])[order].astype(np.int64)
         for x, y in (("token", "token_covering"), ("token_covering", "token"))
     ]
-    scripts = np.concatenate([covered[0]["script"], only["script"]])
-    steps = sum(
-        (np.diff(link, prepend=-1) > 0) * np.int8(step) for link, step in zip(links, (NEXT_A, NEXT_B), strict=True)
-    )
-    n_links = np.bincount(scripts, minlength=len(texts))
-    return [
-        _lists(pa.array(ids[0]).cast(pa.int32()), counts[0]),
-        _lists(pa.array(ids[1]).cast(pa.int32()), counts[1]),
-        _lists(pa.array(steps).cast(pa.int8()), n_links),
-    ]
+    steps = np.zeros(len(order), dtype=np.uint8)
+    for link, step in zip(links, (NEXT_A, NEXT_B), strict=True):
+        steps[np.diff(link, prepend=-1) > 0] |= step
+    n_links = np.bincount(np.concatenate([covered[0]["script"], only["script"]]), minlength=len(texts))
+    kind = np.uint32 if wide else np.uint16
+    return [*(_packed(ids.astype(kind), counts) for ids, counts in tokens), _packed(steps, n_links)]
 
 
-def _spelled(texts: list[bytes], one: ByteTokens, other: PieceTokens) -> tuple[list, list]:
-    """The tokens of both sides, none where the bytes of either do not spell the text."""
-    readable = [text.decode(errors="replace") for text in texts]
-    a = one.encode([f" {text}" if text else "" for text in readable])
-    b = other.encode(readable)
-    for place, text in enumerate(texts):
-        whole = b" " + text if text else b""
-        for side, tokens in ((one, a[place]), (other, b[place])):
-            if b"".join([side.bytes[t] for t in tokens]) != whole:
-                a[place], b[place] = [], []
-                break
-    return a, b
+def _offsets(counts: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(counts)].astype(np.int32)
+
+
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The values of each script as one binary value."""
+    buffers = [None, pa.py_buffer(_offsets(counts * values.itemsize)), pa.py_buffer(values)]
+    return pa.Array.from_buffers(pa.binary(), len(counts), buffers)
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values, and how many each script has."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8)
+    return values.view(kind), np.diff(ends).astype(np.int64) // np.dtype(kind).itemsize
 
 
 def _lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
+    return pa.ListArray.from_arrays(pa.array(_offsets(counts)), values)
 
 
 class _Chunk:
     """A batch of aligned scripts as flat arrays."""
 
-    def __init__(self, a: pa.Array, b: pa.Array, steps: pa.Array) -> None:
-        self.a, self.b = (pc.list_flatten(x).to_numpy().astype(np.int64) for x in (a, b))
-        self.steps = pc.list_flatten(steps).to_numpy()
-        self.n_links = pc.list_value_length(steps).to_numpy()
+    def __init__(self, a: pa.Array, b: pa.Array, steps: pa.Array, wide: pa.Array) -> None:
+        kind = np.uint32 if wide[0].as_py() else np.uint16
+        (self.a, self.n_a), (self.b, self.n_b) = _unpacked(a, kind), _unpacked(b, kind)
+        self.steps, self.n_links = _unpacked(steps, np.uint8)
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of both sides, for every link."""
+    def links(self) -> np.ndarray:
+        """The pair of ids of every link, as one number."""
         next_a, next_b = (self.steps & NEXT_A) > 0, (self.steps & NEXT_B) > 0
-        return self.a[np.cumsum(next_a) - 1], self.b[np.cumsum(next_b) - 1]
+        a, b = self.a[np.cumsum(next_a) - 1], self.b[np.cumsum(next_b) - 1]
+        return a.astype(np.int64) << 32 | b
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """The sum over the links of each script."""
@@ -206,11 +243,16 @@ class _Chunk:
         return total[ends] - total[ends - self.n_links]
 
 
-def _split(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Batches of bounded size: by links, a longer script alone."""
-    sizes = pc.list_value_length(batch.column(batch.num_columns - 1)).to_pylist()
-    for start, stop in chunks(sizes, CHUNK_BYTES):
-        yield batch.slice(start, stop - start)
+_TOKENS = ("a", "b", "steps", "wide")
+
+
+def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Chunk]]:
+    """Parts of bounded size, by their links, a longer script alone. Tokens are the last columns."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(batch.num_columns - 2)).to_pylist()
+        for start, stop in chunks(sizes, CHUNK_BYTES):
+            part = batch.slice(start, stop - start)
+            yield part, _Chunk(*part.columns[-4:])
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
@@ -222,22 +264,20 @@ def link_counts(aligned: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            for part in _split(batch):
-                a, b = _Chunk(*part.columns).links()
-                new, n = np.unique(a << 32 | b, return_counts=True)
-                keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-                if len(keys) > COUNTED:
-                    yield _counted(keys, counts)
-                    keys, counts = keys[:0], counts[:0]
-        yield _counted(keys, counts)
-
-    def _counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        columns = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), counts
+        for _, chunk in _chunks_of(batches):
+            new, n = np.unique(chunk.links(), return_counts=True)
+            keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            if len(keys) > COUNTED:
+                yield counted(keys, counts)
+                keys, counts = keys[:0], counts[:0]
+        yield counted(keys, counts)
+
+    def counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        columns = (keys >> 32).astype(np.int32), keys.astype(np.int32), counts
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a_id", "b_id", "n"])
 
-    parts = aligned.select("a", "b", "steps").mapInArrow(run, "a_id int, b_id int, n bigint")
+    parts = aligned.select(*_TOKENS).mapInArrow(run, "a_id int, b_id int, n bigint")
     pairs = written(parts.groupBy("a_id", "b_id").agg(F.sum("n").alias("n")), "link-counts")
     most = pairs.groupBy("b_id").agg(F.max("n").alias("_most"))
     return written(
@@ -261,30 +301,25 @@ def link_strengths(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUE
     n = np.r_[known.column("n").to_numpy()[order], 0]
     best = np.r_[known.column("best").to_numpy(zero_copy_only=False)[order].astype(np.int64), 0]
 
-    def looked_up(part: pa.RecordBatch) -> tuple[_Chunk, np.ndarray, np.ndarray]:
-        chunk = _Chunk(*part.columns[1:])
-        a, b = chunk.links()
-        wanted = a << 32 | b
-        place = np.searchsorted(keys, wanted)
-        return chunk, wanted, np.where(keys[place] == wanted, place, len(keys) - 1)
+    def places(links: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(keys, links)
+        return np.where(keys[place] == links, place, len(keys) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _split(batch):
-                chunk, _, place = looked_up(part)
-                sums = [pa.array(chunk.sums(values[place])) for values in (best, n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *sums], ["row", "n_best", "count_sum"])
+        for part, chunk in _chunks_of(batches):
+            place = places(chunk.links())
+            sums = [pa.array(chunk.sums(values[place])) for values in (best, n)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *sums], ["row", "n_best", "count_sum"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _split(batch):
-                chunk, wanted, place = looked_up(part)
-                missed = np.flatnonzero(place == len(keys) - 1)
-                rows = np.repeat(part.column(0).to_numpy(), chunk.n_links)[missed]
-                ids = (wanted[missed] >> 32).astype(np.int32), (wanted[missed] & 0xFFFFFFFF).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, *ids)], ["row", "a_id", "b_id"])
-
-    rows = aligned.select("row", "a", "b", "steps")
+        for part, chunk in _chunks_of(batches):
+            links = chunk.links()
+            missed = np.flatnonzero(places(links) == len(keys) - 1)
+            rows = np.repeat(part.column(0).to_numpy(), chunk.n_links)[missed]
+            ids = (links[missed] >> 32).astype(np.int32), links[missed].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, *ids)], ["row", "a_id", "b_id"])
+
+    rows = aligned.select("row", *_TOKENS)
     sums = rows.mapInArrow(run, "row bigint, n_best bigint, count_sum bigint")
     others = counts.where(F.col("n") < level)
     if others.isEmpty():
@@ -323,23 +358,21 @@ def token_groups(aligned: DataFrame, content_id: str = "content_id") -> DataFram
     kind = aligned.schema[content_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _split(batch):
-                chunk = _Chunk(*part.columns[2:])
-                both = chunk.steps == (NEXT_A | NEXT_B)
-                sides = []
-                for ids, step in ((chunk.a, NEXT_A), (chunk.b, NEXT_B)):
-                    begun = np.cumsum((chunk.steps & step) > 0)[both] - 1
-                    sizes = np.diff(np.r_[begun, len(ids)])
-                    sides.append(pc.binary_join(_lists(pa.array(ids).cast(pa.string()), sizes), ","))
-                n_groups = chunk.sums(both.astype(np.int64))
-                groups = pc.binary_join(_lists(pc.binary_join_element_wise(*sides, "|"), n_groups), ";")
-                n_a, n_b, n_links = (pc.list_value_length(x).cast(pa.int64()) for x in part.columns[2:])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), n_a, n_b, n_links, pa.array(n_groups), groups],
-                    ["row", "id", "n_a", "n_b", "n_links", "n_groups", "groups"],
-                )
+        for part, chunk in _chunks_of(batches):
+            both = chunk.steps == (NEXT_A | NEXT_B)
+            sides = []
+            for ids, step in ((chunk.a, NEXT_A), (chunk.b, NEXT_B)):
+                begun = np.cumsum((chunk.steps & step) > 0)[both] - 1
+                sizes = np.diff(np.r_[begun, len(ids)])
+                sides.append(pc.binary_join(_lists(pa.array(ids).cast(pa.string()), sizes), ","))
+            n_groups = chunk.sums(both.astype(np.int64))
+            groups = pc.binary_join(_lists(pc.binary_join_element_wise(*sides, "|"), n_groups), ";")
+            numbers = [pa.array(x) for x in (chunk.n_a, chunk.n_b, chunk.n_links, n_groups)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), *numbers, groups],
+                ["row", "id", "n_a", "n_b", "n_links", "n_groups", "groups"],
+            )
 
     schema = f"row bigint, id {kind}, n_a bigint, n_b bigint, n_links bigint, n_groups bigint, groups string"
-    rows = aligned.select("row", content_id, "a", "b", "steps")
+    rows = aligned.select("row", content_id, *_TOKENS)
     return rows.mapInArrow(run, schema).withColumnRenamed("id", content_id)

@@ -7,6 +7,7 @@ import json
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -100,7 +101,7 @@ def digests(aligned, strengths):
 @pytest.mark.parametrize("frequent", [alignment.FREQUENT, 40, 0])
 def test_odd_rows_equal_a_walk(spark, frequent):
     """Also where most or all pairs are too rare to be sent to the tasks."""
-    names = ("row", "a", "b", "steps", "id", "groups", "n", "best")
+    names = ("row", "a", "b", "steps", "wide", "id", "groups", "n", "best")
     df = spark.createDataFrame(ODD, KIND).repartition(3).withColumns({n: F.lit("x") for n in names})
     aligned = alignment.aligned_scripts(df, BYTE_BPE, PIECE_BPE)
     strengths = alignment.link_strengths(aligned, alignment.link_counts(aligned), frequent)
@@ -137,12 +138,36 @@ def test_both_byte_tokenizers_agree():
     fast = alignment.ByteTokens(file)
     plain_side = tokenizers.Tokenizer.from_file(BYTE_BPE)
     plain_side.encode_special_tokens = True
-    texts = [f" {text}" for _, text in ODD if text]
-    texts += [f" a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)}" for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
-    expected = [plain_side.encode(text, add_special_tokens=False).ids for text in texts]
+    texts = [text for _, text in ODD if text]
+    texts += [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)}" for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
+    expected = [plain_side.encode(f" {text}", add_special_tokens=False).ids for text in texts]
     assert fast.encode(texts) == expected == other.encode(texts)
 
 
+@pytest.fixture(scope="module")
+def sides():
+    kinds = {BYTE_BPE: alignment.ByteTokens, PIECE_BPE: alignment.PieceTokens}
+    return [alignment._Side(kind(Path(file).read_bytes())) for file, kind in kinds.items()]
+
+
+def test_texts_that_are_not_spelled_have_no_tokens(sides):
+    texts = [b"good", b"not \xff readable", b"", "low ▁ line".encode(), b"good"]
+    a, b, steps = alignment._aligned(texts, *sides, False)
+    assert [len(x.as_py()) > 0 for x in steps] == [True, False, False, False, True]
+    assert a[0] == a[4] and [len(x.as_py()) > 0 for x in b] == [True, False, False, False, True]
+
+
+def test_ids_beyond_two_bytes(sides):
+    """Wide ids are packed in four bytes."""
+    chunks = [
+        alignment._Chunk(*alignment._aligned([b"some words", b"", b"more"], *sides, wide), pa.array([wide] * 3))
+        for wide in (False, True)
+    ]
+    assert chunks[0].a.itemsize == 2 and chunks[1].a.itemsize == 4
+    assert (chunks[0].links() == chunks[1].links()).all()
+    assert chunks[0].n_a.tolist() == chunks[1].n_a.tolist() == [2, 0, 1]
+
+
 def test_query_equals_a_walk(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
