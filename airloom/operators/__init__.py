@@ -1,3 +1,5 @@
+from airloom.operators.asof import as_of_join, status_as_of
+from airloom.operators.conversions import conversions_within
 from airloom.operators.funnel import (
     funnel_reach,
     funnel_split,
@@ -31,6 +33,7 @@ from airloom.operators.search import (
     search_filter,
     status_tab_counts,
 )
+from airloom.operators.sessions import session_starts, sessions
 from airloom.operators.tags import expand_batch, linked_programs, related_items, tag_pool
 from airloom.operators.workflow import (
     batch_progress,
@@ -48,6 +51,7 @@ from airloom.operators.workflow import (
 
 __all__ = [
     "Metric",
+    "as_of_join",
     "batch_progress",
     "calendar_fill",
     "capacity_check",
@@ -55,6 +59,7 @@ __all__ = [
     "checklist_complete",
     "content_profile",
     "conversion_trend",
+    "conversions_within",
     "current_status",
     "drilldown",
     "effect_ranking",
@@ -76,8 +81,11 @@ __all__ = [
     "return_reasons",
     "schedule_summary",
     "search_filter",
+    "session_starts",
+    "sessions",
     "shared_capacity_check",
     "source_readiness",
+    "status_as_of",
     "status_history",
     "status_tab_counts",
     "tag_pool",

@@ -123,6 +123,25 @@ FROM a JOIN b USING (source_id) WHERE a.start_s < b.end_s AND b.start_s < a.end_
 """
 
 
+# A change of status of the content that was bought.
+_STATE_OF = "s.user_id = p.user_id AND s.event_type <> 'purchase'"
+
+_SESSIONS = """
+begun AS (
+  SELECT *, lag(ts) OVER history IS NULL OR ts > lag(ts) OVER history + INTERVAL 4 HOUR AS begins
+  FROM events WINDOW history AS (PARTITION BY user_id ORDER BY ts)),
+in_sessions AS (
+  SELECT *, max(ts) FILTER (begins) OVER (PARTITION BY user_id ORDER BY ts) AS session_start FROM begun)
+"""
+
+_CONVERSIONS = f"""
+SELECT v.user_id, v.event_id AS exposure_id, strftime(v.ts, {_TIME}) AS exposed_at, p.event_id AS conversion_id,
+       strftime(p.ts, {_TIME}) AS converted_at, (epoch_us(p.ts) - epoch_us(v.ts)) / 1000000 AS lag_s
+FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 DAY
+WHERE v.event_type = 'view' AND p.event_type = 'purchase'
+"""
+
+
 def _topics(k: int) -> str:
     return f"""
 WITH best AS (
@@ -472,5 +491,87 @@ SELECT DISTINCT event_id, user_id, event_type, strftime(ts, {_TIME}) AS ts FROM
 SELECT user_id AS content_id, strftime(max(ts), {_TIME}) AS ts, arg_max(event_id, ts) AS event_id,
        arg_max(event_type, ts) AS status
 FROM events GROUP BY ALL
+""",
+    "status_as_of": f"""
+SELECT user_id AS content_id, strftime(ts, {_TIME}) AS ts, event_id,
+       (SELECT s.event_type FROM events s WHERE {_STATE_OF} AND s.ts <= p.ts
+        ORDER BY s.ts DESC, s.event_id DESC LIMIT 1) AS status,
+       strftime((SELECT max(s.ts) FROM events s WHERE {_STATE_OF} AND s.ts <= p.ts), {_TIME}) AS since
+FROM events p WHERE event_type = 'purchase'
+""",
+    "status_after": f"""
+SELECT user_id AS content_id, strftime(ts, {_TIME}) AS ts, event_id,
+       (SELECT s.event_type FROM events s WHERE {_STATE_OF} AND s.ts >= p.ts AND s.ts <= p.ts + INTERVAL 6 HOUR
+        ORDER BY s.ts, s.event_id LIMIT 1) AS status,
+       strftime((SELECT min(s.ts) FROM events s WHERE {_STATE_OF} AND s.ts >= p.ts
+                 AND s.ts <= p.ts + INTERVAL 6 HOUR), {_TIME}) AS at
+FROM events p WHERE event_type = 'purchase'
+""",
+    "nearest_status": f"""
+SELECT user_id AS content_id, strftime(ts, {_TIME}) AS ts, event_id, strftime(best.ts, {_TIME}) AS at,
+       best.status AS status
+FROM (SELECT user_id, ts, event_id, (
+        SELECT struct_pack(ts := s.ts, status := s.event_type) FROM events s WHERE {_STATE_OF}
+        ORDER BY abs(epoch_us(s.ts) - epoch_us(p.ts)), s.ts, CASE WHEN s.ts <= p.ts THEN -s.event_id ELSE s.event_id END
+        LIMIT 1) AS best
+      FROM events p WHERE event_type = 'purchase')
+""",
+    "sessions": f"""
+WITH {_SESSIONS}
+SELECT user_id, strftime(session_start, {_TIME}) AS session_start, strftime(max(ts), {_TIME}) AS session_end,
+       count(*) AS events, (epoch_us(max(ts)) - epoch_us(session_start)) / 1000000 AS length_s,
+       count(DISTINCT event_type) AS kinds,
+       CAST(coalesce(sum({_cents("value")}) FILTER (event_type = 'purchase'), 0) AS BIGINT) AS revenue_cents
+FROM in_sessions GROUP BY user_id, session_start
+""",
+    "conversions_within": _CONVERSIONS,
+    "live_sessions": f"""
+WITH {_SESSIONS}
+SELECT user_id, strftime(session_start, {_TIME}) AS session_start, strftime(max(ts), {_TIME}) AS session_end,
+       count(*) AS events
+FROM in_sessions GROUP BY user_id, session_start
+HAVING max(ts) + INTERVAL 4 HOUR + INTERVAL 1 MICROSECOND
+       <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)
+""",
+    "live_conversions": _CONVERSIONS,
+    "live_states": f"""
+WITH {_SLOTS},
+-- The hours of the week inside a slot, and those at which one of the merged slots starts.
+hours AS (SELECT DISTINCT blogger_id, (d - 1) * 24 + h AS cell
+          FROM slots, generate_series(1, 7) AS a(d), generate_series(0, 23) AS b(h) WHERE {_INSIDE}),
+begins AS (SELECT * FROM hours x WHERE NOT EXISTS (
+             SELECT 1 FROM hours y WHERE y.blogger_id = x.blogger_id AND y.cell = (x.cell + 167) % 168)),
+closed AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS until, min(ts) AS start FROM events),
+-- Whatever can change a state: events, whole hours, and three days without an event.
+e AS (SELECT user_id AS blogger_id, ts, arg_max(event_type, event_id) AS status,
+             lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next_ts
+      FROM events GROUP BY user_id, ts),
+moments AS (
+  SELECT blogger_id, ts AS t, struct_pack(s := status, at := ts) AS event FROM e
+  UNION ALL
+  SELECT blogger_id, hour, NULL FROM (SELECT DISTINCT blogger_id FROM e), (
+    SELECT unnest(generate_series(date_trunc('hour', start), until, INTERVAL 1 HOUR)) AS hour FROM closed)
+  UNION ALL
+  SELECT blogger_id, ts + INTERVAL 3 DAY, NULL FROM e WHERE next_ts IS NULL OR next_ts > ts + INTERVAL 3 DAY),
+known AS (
+  SELECT blogger_id, t, last_value(max(event) IGNORE NULLS) OVER (PARTITION BY blogger_id ORDER BY t) AS latest
+  FROM moments, closed WHERE t <= until GROUP BY blogger_id, t),
+states AS (
+  SELECT blogger_id, t, latest.at AS since, (isodow(t) - 1) * 24 + hour(t) AS cell,
+         (epoch_us(t) + 3 * 86400000000) % (168 * 3600000000) AS now, latest.s AS latest_status,
+         t >= latest.at + INTERVAL 3 DAY AS gone
+  FROM known WHERE latest IS NOT NULL AND t <= latest.at + INTERVAL 3 DAY),
+judged AS (
+  SELECT blogger_id, t, since, CASE WHEN NOT gone THEN latest_status END AS status,
+         CASE WHEN gone THEN NULL
+              WHEN EXISTS (SELECT 1 FROM hours h WHERE h.blogger_id = s.blogger_id AND h.cell = s.cell) THEN 'running'
+              WHEN EXISTS (SELECT 1 FROM begins b WHERE b.blogger_id = s.blogger_id
+                AND (b.cell * 3600000000 - s.now + 168 * 3600000000) % (168 * 3600000000) BETWEEN 1 AND 3600000000) THEN 'soon'
+              WHEN latest_status = 'error' THEN 'review' ELSE 'ready' END AS state
+  FROM states s)
+SELECT blogger_id, strftime(t, {_TIME}) AS at, state, status, strftime(since, {_TIME}) AS since
+FROM judged WINDOW steps AS (PARTITION BY blogger_id ORDER BY t)
+QUALIFY row_number() OVER steps = 1 OR state IS DISTINCT FROM lag(state) OVER steps
+     OR status IS DISTINCT FROM lag(status) OVER steps
 """,
 }

@@ -22,6 +22,9 @@ QUERIES: dict[str, Query] = {}
 
 AS_OF = "2024-01-20 10:30:00"
 DAY_SUBJECT = ["user_id", "day"]
+#: Seconds: the pause that ends a session, and the time a conversion may take.
+SESSION_GAP = 4 * 3600
+CONVERTS_WITHIN = 24 * 3600
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -453,6 +456,58 @@ def new_entities(spark, folder):
     )
 
 
+# Values, sessions and conversions by time
+
+
+def _purchases_and_states(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Purchases, and all other events as changes of the same content's status."""
+    events = std.status_events(spark, folder)
+    return events.where("status = 'purchase'").drop("status"), events.where("status <> 'purchase'")
+
+
+@query
+def status_as_of(spark, folder):
+    purchases, states = _purchases_and_states(spark, folder)
+    return ops.status_as_of(purchases, states, "content_id", "ts")
+
+
+@query
+def status_after(spark, folder):
+    purchases, states = _purchases_and_states(spark, folder)
+    return ops.as_of_join(
+        purchases,
+        states,
+        ["content_id"],
+        "ts",
+        {"status": "status", "at": "ts"},
+        "event_id",
+        direction="forward",
+        within_s=6 * 3600,
+    )
+
+
+@query
+def nearest_status(spark, folder):
+    purchases, states = _purchases_and_states(spark, folder)
+    return ops.as_of_join(
+        purchases, states, ["content_id"], "ts", {"status": "status", "at": "ts"}, "event_id", direction="nearest"
+    )
+
+
+@query
+def sessions(spark, folder):
+    bought = F.sum(F.when(F.col("event_type") == "purchase", F.col("value_cents")))
+    measures = {"kinds": F.count_distinct("event_type"), "revenue_cents": F.coalesce(bought, F.lit(0))}
+    return ops.sessions(std.effect_events(spark, folder), "user_id", "ts", SESSION_GAP, measures)
+
+
+@query
+def conversions_within(spark, folder):
+    events = std.effect_events(spark, folder)
+    views, purchases = (events.where(F.col("event_type") == kind) for kind in ("view", "purchase"))
+    return ops.conversions_within(views, purchases, "user_id", "ts", CONVERTS_WITHIN)
+
+
 # Schedule and intervals
 
 
@@ -542,3 +597,28 @@ def live_status(spark, folder):
     writer = live.live_status(stream, "content_id", "ts", f"{target}/log")
     live.run_to_end(writer, f"{target}/checkpoint")
     return live.latest_status(spark, f"{target}/log", "content_id")
+
+
+@query
+def live_sessions(spark, folder):
+    events = std.event_stream(_stream_session(spark), folder)
+    return _append(spark, live.live_sessions(events, "user_id", "ts", SESSION_GAP, "1 hour"), "live_sessions")
+
+
+@query
+def live_conversions(spark, folder):
+    events = std.event_stream(_stream_session(spark), folder)
+    views, purchases = (events.where(F.col("event_type") == kind) for kind in ("view", "purchase"))
+    pairs = live.live_conversions(views, purchases, "user_id", "ts", CONVERTS_WITHIN, "1 hour")
+    return _append(spark, pairs, "live_conversions")
+
+
+@query
+def live_states(spark, folder):
+    session = _stream_session(spark)
+    for name, value in live.STATE_STORE.items():
+        session.conf.set(name, value)
+    events = std.event_stream(session, folder).withColumnsRenamed({"user_id": "blogger_id", "event_type": "status"})
+    slots = std.weekly_slots(session, folder)
+    states = live.live_states(events, slots, "blogger_id", "ts", "1 hour", 3, pending=["error"])
+    return _append(spark, states, "live_states")
