@@ -114,10 +114,12 @@ windows AS (
   FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM items WHERE len(w) > 0)
 ),
 -- All runs of words in the documents that are as long as some window.
+words AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS s FROM docs),
+ahead AS (
+  SELECT id, s, list(w) OVER (PARTITION BY id ORDER BY s ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS l FROM words
+),
 runs AS (
-  SELECT id, s, n, array_to_string(w[s:s + n - 1], ' ') AS t
-  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS s
-        FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+  SELECT id, s, n, array_to_string(l[1:n], ' ') AS t FROM ahead, (SELECT DISTINCT n FROM windows) WHERE len(l) >= n
 ),
 found AS (SELECT id, s, runs.n, item_id FROM runs JOIN windows USING (n, t)),
 hits AS (
@@ -125,7 +127,8 @@ hits AS (
   FROM (SELECT id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT id, s, n FROM found)) GROUP BY id
 ),
 named AS (
-  SELECT id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  -- An item without an id is hit, but not named.
+  SELECT id, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
   FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,

@@ -29,6 +29,10 @@ BENCHMARK = [
     (1, SHARED), (1, SHARED), (2, "short item"), (3, None), (4, ""), (None, "word3 word4"),
     (5, "unseen term here"), (6, SHARED + " other"),
 ]
+VECTORS = [(0, [1.0, 2.0], 0), (20, [0.5], 1), (20, [0.5], None), (None, [3.0, 1.0], 0), (1, None, 1), (40, [None], 1)]
+TABLES = ("documents", "benchmark", "embeddings")
+#: Queries that do not return a row for each document: three of three others each here.
+OTHER = {"op11_related_by_features": 9}
 
 
 @pytest.fixture(scope="module")
@@ -41,13 +45,16 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame(BENCHMARK, "item_id long, text string").write.parquet(
         f"{folder}/benchmark.parquet"
     )
+    spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int").write.parquet(
+        f"{folder}/embeddings.parquet"
+    )
     return str(folder)
 
 
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "benchmark"):
+    for name in TABLES:
         spark.read.parquet(f"{odd}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
@@ -55,7 +62,7 @@ def empty(spark, odd, tmp_path_factory):
 def compare(spark, name, folder, pattern):
     result = QUERIES[name](spark, folder)
     connection = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in TABLES:
         connection.execute(
             f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet{pattern}')"
         )
@@ -74,7 +81,7 @@ def test_driver_tables(spark, name):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_odd_rows(spark, odd, name):
-    assert len(compare(spark, name, odd, "/*.parquet")) == len(ROWS)
+    assert len(compare(spark, name, odd, "/*.parquet")) == OTHER.get(name, len(ROWS))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
