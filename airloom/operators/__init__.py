@@ -1,4 +1,5 @@
 from airloom.operators.asof import as_of_join, status_as_of
+from airloom.operators.changes import state_changes
 from airloom.operators.conversions import conversions_within
 from airloom.operators.funnel import (
     funnel_reach,
@@ -14,6 +15,7 @@ from airloom.operators.metrics import (
     kpi_summary,
     trend_by_kind,
 )
+from airloom.operators.props import merged_props, parsed_props
 from airloom.operators.ranking import (
     drilldown,
     effect_ranking,
@@ -34,7 +36,9 @@ from airloom.operators.search import (
     status_tab_counts,
 )
 from airloom.operators.sessions import session_starts, sessions
+from airloom.operators.sketches import distinct_counts, distinct_shared, distinct_sketches
 from airloom.operators.tags import expand_batch, linked_programs, related_items, tag_pool
+from airloom.operators.windows import sliding_windows
 from airloom.operators.workflow import (
     batch_progress,
     capacity_check,
@@ -61,6 +65,9 @@ __all__ = [
     "conversion_trend",
     "conversions_within",
     "current_status",
+    "distinct_counts",
+    "distinct_shared",
+    "distinct_sketches",
     "drilldown",
     "effect_ranking",
     "entity_stats",
@@ -73,8 +80,10 @@ __all__ = [
     "kpi_summary",
     "linked_programs",
     "merge_intervals",
+    "merged_props",
     "new_entities",
     "ordered_funnel",
+    "parsed_props",
     "queue_position",
     "ranking_by_group",
     "related_items",
@@ -84,7 +93,9 @@ __all__ = [
     "session_starts",
     "sessions",
     "shared_capacity_check",
+    "sliding_windows",
     "source_readiness",
+    "state_changes",
     "status_as_of",
     "status_history",
     "status_tab_counts",

@@ -197,24 +197,26 @@ def timeline_overlap(
     Without ``bucket``, the bucket width follows the lengths: each interval belongs to the level
     whose width, a power of 4, is just above its length, and a pair is compared on the level of
     the longer one. Long and short intervals may then be mixed at will; the levels in use cost
-    a pass over each side. With ``bucket``, all buckets have this width, which is cheaper if
+    a pass over each side, and the pairs another one. With ``bucket``, all buckets have this width, which is cheaper if
     all intervals are about that long.
     """
     left, right = (_interval_side(df, mark, key, start, end, id) for df, mark in ((a, "a"), (b, "b")))
     if bucket is not None:
-        one = F.array(F.lit(0))
-        met = _meet(left, right, key, one, one, bucket)
+        only = F.array(F.struct(F.lit(0).alias("_level"), F.lit(0).alias("_part")))
+        met = _meet(left, right, key, only, only, bucket)
     else:
-        own_a, own_b = F.array("_level_a"), F.array("_level_b")
+        # A pair meets on the level of the longer one, so each side also visits the levels of the
+        # other that are above its own. Three parts: both are of the level, a visits, b visits.
         of_a, of_b = (
             side.agg(F.collect_set(level)).scalar()
             for side, level in ((left, "_level_a"), (right, "_level_b"))
         )
-        # First the pairs in which a is as long as b or longer, then the others.
-        up_to_a = F.filter("_others", lambda level: level >= F.col("_level_b"))
-        beyond_a = F.filter("_others", lambda level: level > F.col("_level_a"))
-        met = _meet(left, right.withColumn("_others", of_a), key, own_a, up_to_a).unionByName(
-            _meet(left.withColumn("_others", of_b), right, key, beyond_a, own_b)
+        met = _meet(
+            left.withColumn("_others", of_b),
+            right.withColumn("_others", of_a),
+            key,
+            _levels("_level_a", (0, 2), 1),
+            _levels("_level_b", (0, 1), 2),
         )
     return met.select(
         *([] if key is None else [key]),
@@ -226,6 +228,19 @@ def timeline_overlap(
     )
 
 
+def _levels(own: str, parts: tuple[int, int], visits: int) -> Column:
+    """The levels and parts that an interval takes part in."""
+
+    def place(level: Column, part: int) -> Column:
+        return F.struct(level.alias("_level"), F.lit(part).alias("_part"))
+
+    above = F.filter("_others", lambda level: level > F.col(own))
+    return F.concat(
+        F.array(*(place(F.col(own), part) for part in parts)),
+        F.transform(above, lambda level: place(level, visits)),
+    )
+
+
 def _interval_side(
     df: DataFrame, mark: str, key: str | None, start: str, end: str, id: str
 ) -> DataFrame:
@@ -253,12 +268,12 @@ def _meet(
         first = F.floor(F.col(f"_start_{mark}") / width)
         last = F.ceil(F.col(f"_end_{mark}") / width) - 1  # the end itself is outside
         return (
-            side.withColumn("_level", F.explode(levels))
+            side.select("*", F.inline(levels))
             .withColumn("_bucket", F.explode(F.sequence(first, last)))
             .drop(f"_level_{mark}", "_others")
         )
 
-    on = [*([] if key is None else [key]), "_level", "_bucket"]
+    on = [*([] if key is None else [key]), "_level", "_part", "_bucket"]
     return (
         place(left, "a", levels_a)
         .join(place(right, "b", levels_b), on)

@@ -142,6 +142,12 @@ WHERE v.event_type = 'view' AND p.event_type = 'purchase'
 """
 
 
+def _state(year: int) -> str:
+    return f"""
+SELECT o_custkey AS blogger_id, o_orderstatus AS status, o_orderpriority AS queue
+FROM orders WHERE year(o_orderdate) = {year}"""
+
+
 def _topics(k: int) -> str:
     return f"""
 WITH best AS (
@@ -573,5 +579,47 @@ SELECT blogger_id, strftime(t, {_TIME}) AS at, state, status, strftime(since, {_
 FROM judged WINDOW steps AS (PARTITION BY blogger_id ORDER BY t)
 QUALIFY row_number() OVER steps = 1 OR state IS DISTINCT FROM lag(state) OVER steps
      OR status IS DISTINCT FROM lag(status) OVER steps
+""",
+    "distinct_counts": """
+SELECT o_orderpriority AS queue, count(DISTINCT o_custkey) AS bloggers, TRUE AS within
+FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1994-03-01' AND DATE '1995-10-31' GROUP BY ALL
+""",
+    "distinct_shared": """
+SELECT queue, count(*) FILTER (years = 3) AS bloggers, TRUE AS within
+FROM (SELECT o_orderpriority AS queue, o_custkey, count(DISTINCT year(o_orderdate)) AS years
+      FROM orders WHERE year(o_orderdate) BETWEEN 1994 AND 1996 GROUP BY ALL)
+GROUP BY queue
+""",
+    "sliding_windows": f"""
+WITH starts AS (
+  SELECT unnest(generate_series(date_trunc('day', min(ts)) - INTERVAL 6 DAY, date_trunc('day', max(ts)),
+                                INTERVAL 1 DAY)) AS w FROM events)
+SELECT event_type, strftime(w, {_TIME}) AS window_start, strftime(w + INTERVAL 7 DAY, {_TIME}) AS window_end,
+       count(*) AS events, CAST(sum(c) AS BIGINT) AS total_cents, min(c) AS least_cents, max(c) AS most_cents,
+       sum(c) / count(*) AS mean_cents
+FROM starts JOIN (SELECT *, {_cents("value")} AS c FROM events) ON ts >= w AND ts < w + INTERVAL 7 DAY
+GROUP BY event_type, w
+""",
+    "merged_props": """
+WITH whole AS (SELECT *, event_id % 11 = 0 AS cut FROM events),
+names AS (
+  SELECT user_id, k AS name, arg_max(v, (ts, event_id)) AS latest, count(*) AS times,
+         sum(TRY_CAST(v AS DECIMAL(28,6))) AS total
+  FROM (SELECT user_id, ts, event_id, unnest(json_keys(props)) AS k,
+               unnest(list_transform(json_keys(props), lambda x: json_extract_string(props, '$."' || x || '"'))) AS v
+        FROM whole WHERE NOT cut)
+  GROUP BY user_id, k)
+SELECT e.user_id, coalesce(string_agg(name || '=' || latest, ',' ORDER BY name), '') AS latest,
+       coalesce(string_agg(name || '=' || CAST(total AS VARCHAR), ',' ORDER BY name), '') AS totals,
+       coalesce(string_agg(name || '=' || times, ',' ORDER BY name), '') AS times, any_value(e.n) AS events,
+       any_value(e.b) AS broken
+FROM (SELECT user_id, count(*) AS n, count(*) FILTER (cut) AS b FROM whole GROUP BY user_id) e
+LEFT JOIN names n ON n.user_id = e.user_id GROUP BY e.user_id
+""",
+    "state_changes": f"""
+WITH a AS ({_state(1995)}), b AS ({_state(1996)})
+SELECT *, 'added' AS change, count(*) AS n FROM (FROM b EXCEPT ALL FROM a) GROUP BY ALL
+UNION ALL SELECT *, 'removed', count(*) FROM (FROM a EXCEPT ALL FROM b) GROUP BY ALL
+UNION ALL SELECT *, 'kept', count(*) FROM (FROM a INTERSECT ALL FROM b) GROUP BY ALL
 """,
 }

@@ -14,7 +14,7 @@ from airloom import sources
 from airloom import streaming as live
 from airloom.functions.timing import as_local_time, epoch_seconds
 from airloom.plans import standins as std
-from airloom.session import shared_folder
+from airloom.session import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,8 @@ DAY_SUBJECT = ["user_id", "day"]
 #: Seconds: the pause that ends a session, and the time a conversion may take.
 SESSION_GAP = 4 * 3600
 CONVERTS_WITHIN = 24 * 3600
+#: Sketches of 512 hashes.
+SKETCH_SIZE = 9
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -508,6 +510,78 @@ def conversions_within(spark, folder):
     return ops.conversions_within(views, purchases, "user_id", "ts", CONVERTS_WITHIN)
 
 
+# Sketches, windows, payloads and changes
+
+
+def _active_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of the active bloggers per queue and day, as they would be stored."""
+    content = std.content(spark, folder).withColumn("day", F.to_date("created_at"))
+    sketches = ops.distinct_sketches(content, ["queue", "day"], "blogger_id", SKETCH_SIZE)
+    return stored(sketches, "sketches")
+
+
+@query
+def distinct_counts(spark, folder):
+    in_range = F.col("day").between("1994-03-01", "1995-10-31")
+    estimates = ops.distinct_counts(_active_sketches(spark, folder).where(in_range), ["queue"], SKETCH_SIZE)
+    content = std.content(spark, folder).withColumn("day", F.to_date("created_at")).where(in_range)
+    exact = content.groupBy("queue").agg(F.count_distinct("blogger_id").alias("bloggers"))
+    return estimates.join(exact, "queue").select(
+        "queue", "bloggers", F.col("bloggers").between(F.col("low"), F.col("high")).alias("within")
+    )
+
+
+@query
+def distinct_shared(spark, folder):
+    sketches = _active_sketches(spark, folder).withColumn("year", F.year("day"))
+    estimates = ops.distinct_shared(sketches, ["queue"], "year", [1994, 1995, 1996], SKETCH_SIZE)
+    years = std.content(spark, folder).select("queue", "blogger_id", F.year("created_at").alias("year"))
+    active = years.where(F.col("year").isin(1994, 1995, 1996)).groupBy("queue", "blogger_id")
+    active = active.agg(F.count_distinct("year").alias("years"))
+    exact = active.groupBy("queue").agg(F.count_if(F.col("years") == 3).alias("bloggers"))
+    return estimates.join(exact, "queue").select(
+        "queue", "bloggers", F.col("bloggers").between(F.col("low"), F.col("high")).alias("within")
+    )
+
+
+@query
+def sliding_windows(spark, folder):
+    return ops.sliding_windows(
+        std.effect_events(spark, folder),
+        "ts",
+        7 * 86400,
+        86400,
+        {
+            "events": ("count", None),
+            "total_cents": ("sum", "value_cents"),
+            "least_cents": ("min", "value_cents"),
+            "most_cents": ("max", "value_cents"),
+            "mean_cents": ("avg", "value_cents"),
+        },
+        ["event_type"],
+    )
+
+
+@query
+def merged_props(spark, folder):
+    merged = ops.merged_props(std.payloads(spark, folder), "user_id", "ts")
+
+    def listed(name: str) -> Column:
+        entries = F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e.key, e.value.cast("string")))
+        return F.array_join(entries, ",").alias(name)
+
+    return merged.select("user_id", listed("latest"), listed("totals"), listed("times"), "events", "broken")
+
+
+@query
+def state_changes(spark, folder):
+    content = std.content(spark, folder)
+    states = [
+        content.where(F.year("created_at") == year).select("blogger_id", "status", "queue") for year in (1995, 1996)
+    ]
+    return ops.state_changes(*states)
+
+
 # Schedule and intervals
 
 

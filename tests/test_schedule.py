@@ -147,3 +147,18 @@ def test_overlap_equals_brute_force(frame, key, bucket):
                 expected.append((i, j, max(s1, s2), min(e1, e2), min(e1, e2) - max(s1, s2)))
     columns = ["id_a", "id_b", "overlap_start", "overlap_end", "overlap"]
     assert sorted(map(tuple, result.select(columns).collect())) == sorted(expected)
+
+
+def test_overlaps_read_each_side_twice(spark, tmp_path):
+    """Once for the lengths in use, once for the pairs."""
+    for name in "ab":
+        spark.range(100).selectExpr("id % 3 AS source_id", "id", "id AS start_s", "id + 1 + id % 40 AS end_s").write.parquet(f"{tmp_path}/{name}")
+    a, b = (spark.read.parquet(f"{tmp_path}/{name}") for name in "ab")
+    pairs = ops.timeline_overlap(a, b, "source_id")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.index("== Initial Plan ==") :] if "== Initial Plan ==" in plan else plan
+    for name in "ab":
+        assert initial.count(f"{tmp_path}/{name}") <= 2, initial
+    rows = [(r.source_id, r.id, r.start_s, r.end_s) for r in a.collect()]
+    expected = sum(x[0] == y[0] and x[2] < y[3] and y[2] < x[3] for x in rows for y in rows)
+    assert pairs.count() == pairs.select("id_a", "id_b").distinct().count() == expected
