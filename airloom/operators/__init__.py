@@ -1,6 +1,7 @@
 from airloom.operators.asof import as_of_join, status_as_of
 from airloom.operators.changes import state_changes
 from airloom.operators.conversions import conversions_within
+from airloom.operators.dominance import dominance_counts
 from airloom.operators.funnel import (
     funnel_reach,
     funnel_split,
@@ -68,6 +69,7 @@ __all__ = [
     "distinct_counts",
     "distinct_shared",
     "distinct_sketches",
+    "dominance_counts",
     "drilldown",
     "effect_ranking",
     "entity_stats",

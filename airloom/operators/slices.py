@@ -27,7 +27,9 @@ from airloom.session import stored
 SLICE = "_slice"
 
 
-def in_slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def in_slices(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
+) -> DataFrame:
     """``rows`` cut into ranges of about equally many rows along keys and order.
 
     The slices are the partitions of Spark's range partitioning, which samples the rows for its

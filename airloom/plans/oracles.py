@@ -621,5 +621,30 @@ WITH a AS ({_state(1995)}), b AS ({_state(1996)})
 SELECT *, 'added' AS change, count(*) AS n FROM (FROM b EXCEPT ALL FROM a) GROUP BY ALL
 UNION ALL SELECT *, 'removed', count(*) FROM (FROM a EXCEPT ALL FROM b) GROUP BY ALL
 UNION ALL SELECT *, 'kept', count(*) FROM (FROM a INTERSECT ALL FROM b) GROUP BY ALL
+""",
+    "dominance_counts": f"""
+WITH p AS (SELECT p_partkey AS program_id, {_cents("p_retailprice")} AS price_cents, p_size AS size FROM part)
+SELECT i.program_id, i.price_cents, CAST(i.size AS BIGINT) AS size, count(o.program_id) AS beaten_by
+FROM p i LEFT JOIN p o ON o.price_cents < i.price_cents AND o.size > i.size GROUP BY ALL
+""",
+    "calendar_fill_range": """
+WITH daily AS (SELECT o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day, count(*) AS items
+               FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1992-12-20' AND DATE '1996-02-10' GROUP BY ALL),
+     days AS (SELECT CAST(unnest(generate_series(DATE '1992-12-20', DATE '1996-02-10', INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT status, CAST(day AS VARCHAR) AS day, coalesce(items, 0) AS items
+FROM (SELECT DISTINCT status FROM daily) CROSS JOIN days LEFT JOIN daily USING (status, day)
+""",
+    "content_profile_median": """
+SELECT CASE WHEN n_chars >= 8000 THEN 3 WHEN n_chars >= 2000 THEN 2 WHEN n_chars >= 500 THEN 1
+            ELSE 0 END::BIGINT AS bucket,
+       count(*) AS items, count(*) AS scored, avg(n_chars % 50) AS mean_score,
+       quantile_disc(n_chars % 50, 0.5) AS median_score, CAST(1 AS DOUBLE) AS coverage
+FROM documents GROUP BY ALL
+""",
+    "timeline_overlap_keyless": f"""
+WITH a AS ({_excerpts("purchase")}), b AS ({_excerpts("error")})
+SELECT CAST(floor(greatest(a.start_s, b.start_s) / 3600) AS BIGINT) AS hour, count(*) AS pairs,
+       CAST(sum(least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s)) AS BIGINT) AS seconds
+FROM a JOIN b ON a.start_s < b.end_s AND b.start_s < a.end_s GROUP BY ALL
 """,
 }

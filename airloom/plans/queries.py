@@ -173,6 +173,16 @@ def calendar_fill_by_user(spark, folder):
     return ops.calendar_fill(daily, "day", {"n": 0}, ["user_id"])
 
 
+@query
+def calendar_fill_range(spark, folder):
+    daily = (
+        std.content(spark, folder)
+        .groupBy("status", F.to_date("created_at").alias("day"))
+        .agg(F.count(F.lit(1)).alias("items"))
+    )
+    return ops.calendar_fill(daily, "day", {"items": 0}, ["status"], "1992-12-20", "1996-02-10")
+
+
 @query
 def trend_by_kind(spark, folder):
     return ops.trend_by_kind(
@@ -308,6 +318,13 @@ def tag_pool(spark, folder):
     return ops.tag_pool(profiles, items, 5, profile="blogger_id")
 
 
+@query
+def dominance_counts(spark, folder):
+    """Per programme, how many others are cheaper and larger."""
+    programs = std.programs(spark, folder).select("program_id", "price_cents", "size")
+    return ops.dominance_counts(programs, "price_cents", "size")
+
+
 @query
 def related_items(spark, folder):
     items = std.programs(spark, folder).select(F.col("program_id").alias("item_id"), "tags")
@@ -451,6 +468,15 @@ def content_profile(spark, folder):
     )
 
 
+@query
+def content_profile_median(spark, folder):
+    """Of whole numbers with few different values, for which the median is exact."""
+    scores = std.documents(spark, folder).select("item_id", (F.col("length") % 50).alias("score"))
+    return ops.content_profile(
+        std.documents(spark, folder), scores, "item_id", "length", [500, 2000, 8000], median=True
+    )
+
+
 @query
 def new_entities(spark, folder):
     return ops.new_entities(
@@ -624,6 +650,15 @@ def timeline_overlap_buckets(spark, folder):
     )
 
 
+@query
+def timeline_overlap_keyless(spark, folder):
+    """Purchases and errors that overlap, whoever's they are, summed up by the hour."""
+    sides = (std.excerpts(spark, folder, kind).drop("source_id") for kind in ("purchase", "error"))
+    pairs = ops.timeline_overlap(*sides, None)
+    by_hour = F.floor(F.col("overlap_start") / 3600).alias("hour")
+    return pairs.groupBy(by_hour).agg(F.count(F.lit(1)).alias("pairs"), F.sum("overlap").alias("seconds"))
+
+
 # Streaming forms, run over what there is
 
 
