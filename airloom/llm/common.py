@@ -53,5 +53,17 @@ def root_of(rows: Column) -> Column:
     return F.ceil(F.sqrt(rows.cast("double"))).cast("bigint")
 
 
+def rewritten(content: DataFrame, found: DataFrame, content_id: str, script: str, text: Column) -> DataFrame:
+    """``content`` with the scripts replaced by ``text``, a column over ``_script`` and ``found``.
+
+    ``found`` has a row per ``_id`` at most. The columns of ``content`` may have any names.
+    """
+    whole = F.struct(*(F.col(f"`{name}`") for name in content.columns)).alias("_row")
+    rows = content.select(whole, F.col(f"`{content_id}`").alias("_key"), F.col(f"`{script}`").alias("_script"))
+    joined = rows.join(found, F.col("_key") == F.col("_id"), "left")
+    kept = (text if name == script else F.col(f"_row.`{name}`") for name in content.columns)
+    return joined.select(*(column.alias(name) for column, name in zip(kept, content.columns, strict=True)))
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airloom.llm.common import written
+from airloom.llm.common import rewritten, written
 from airloom.llm.components import connected_components
 
 WIDTH = 5
@@ -361,7 +361,7 @@ def without_repeats(
 ) -> DataFrame:
     """``content`` with the removed paragraphs of :func:`repeated_paragraphs` cut from the scripts.
 
-    Rows without an id keep their scripts as they are.
+    Rows without an id keep their scripts as they are, and so do NULL scripts. Columns may have any names.
     """
     lines = written(
         repeated.where("removed")
@@ -370,8 +370,7 @@ def without_repeats(
         "paragraph-removed",
     )
     kept = F.filter(
-        F.split(F.col(script), "\n"), lambda line, i: ~F.array_contains(F.col("_removed"), i)
+        F.split(F.col("_script"), "\n"), lambda line, i: ~F.array_contains(F.col("_removed"), i)
     )
-    text = F.when(F.col("_removed").isNull(), F.col(script)).otherwise(F.concat_ws("\n", kept))
-    joined = content.join(lines, content[content_id] == lines["_id"], "left")
-    return joined.withColumn(script, text).select(*content.columns)
+    text = F.when(F.col("_removed").isNull(), F.col("_script")).otherwise(F.concat_ws("\n", kept))
+    return rewritten(content, lines, content_id, script, text)

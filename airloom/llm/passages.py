@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airloom.llm.common import is_empty, written
+from airloom.llm.common import is_empty, rewritten, written
 
 WORDS = 50
 #: A window is found by the least hash of its runs of so many words.
@@ -313,7 +313,7 @@ def without_passages(
 ) -> DataFrame:
     """``content`` with the removed passages of :func:`repeated_passages` cut from the scripts.
 
-    Rows without an id keep their scripts as they are.
+    Rows without an id keep their scripts as they are, and so do NULL scripts. Columns may have any names.
     """
     cuts = written(
         passages.where("removed")
@@ -321,7 +321,7 @@ def without_passages(
         .agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("_cuts")),
         "passage-cuts",
     )
-    text = F.col(script)
+    text = F.col("_script")
     # Passages may overlap: what is kept starts after the furthest end so far.
     state = F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("at"))
     kept = F.aggregate(
@@ -338,7 +338,6 @@ def without_passages(
             done["kept"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text))
         ),
     )
-    joined = content.join(cuts, content[content_id] == cuts["_id"], "left")
-    return joined.withColumn(script, F.when(F.col("_cuts").isNull(), text).otherwise(kept)).select(
-        *content.columns
+    return rewritten(
+        content, cuts, content_id, script, F.when(F.col("_cuts").isNull(), text).otherwise(kept)
     )

@@ -117,12 +117,13 @@ def op7_repeated_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """A document without an id is in no fold: it is neither learned from nor held out."""
     content = records.scripts(spark, folder)
     held_out = records.fold_of(F.col("content_id"), 4) == 2
     model = fit_languages(content.where(~held_out))
     return script_languages(content, model).select(
         F.col("content_id").alias("doc_id"),
-        held_out.alias("held_out"),
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.col("language").alias("lang_pred"),
         F.col("share").alias("score"),
         F.concat_ws(",", "languages").alias("langs"),
@@ -140,12 +141,13 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    """A document without an id is in no fold: it is neither learned from nor held out."""
     content = records.scripts(spark, folder)
     learned = records.fold_of(F.col("content_id"), 3) != 1
     model = fit_votes(content.where(learned), records.reviews(spark, folder).where(learned))
     return quality_votes(content.select("content_id", "script"), model).select(
         F.col("content_id").alias("doc_id"),
-        (~learned).alias("held_out"),
+        F.coalesce(~learned, F.lit(False)).alias("held_out"),
         F.col("vote").alias("score"),
         (F.col("vote") >= 0.5).cast("int").alias("predicted"),
     )
