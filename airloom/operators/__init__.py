@@ -38,6 +38,7 @@ from airloom.operators.search import (
 )
 from airloom.operators.sessions import session_starts, sessions
 from airloom.operators.sketches import distinct_counts, distinct_shared, distinct_sketches
+from airloom.operators.similar import similar_items
 from airloom.operators.tags import expand_batch, linked_programs, related_items, tag_pool
 from airloom.operators.windows import sliding_windows
 from airloom.operators.workflow import (
@@ -95,6 +96,7 @@ __all__ = [
     "session_starts",
     "sessions",
     "shared_capacity_check",
+    "similar_items",
     "sliding_windows",
     "source_readiness",
     "state_changes",

@@ -139,7 +139,7 @@ def _supports(sets: DataFrame) -> DataFrame:
     return tags.groupBy("_tag").agg(F.count(F.lit(1)).alias("_support"))
 
 
-def _first_members(sets: DataFrame, m: int) -> DataFrame:
+def first_members(sets: DataFrame, m: int) -> DataFrame:
     """A row per distinct set, with its number of items and the first ``m`` of them."""
     sizes = sets.groupBy("_set").agg(F.count(F.lit(1)).alias("_n"))
     firsts = (
@@ -176,7 +176,7 @@ def tag_pool(
     Runs jobs while it is built.
     """
     item_sets = items.select(F.col(item).alias("_item"), tag_set(F.col(tags)).alias("_set"))
-    listers = stored(_first_members(item_sets.where(F.size("_set") > 0), m), "tag-sets")
+    listers = stored(first_members(item_sets.where(F.size("_set") > 0), m), "tag-sets")
     supports = stored(_supports(listers), "tag-supports")
     profile_sets = profiles.select(profile, tag_set(F.col(tags)).alias("_set"))
     probers = _in_order(profile_sets.select("_set").distinct(), supports)
@@ -253,7 +253,7 @@ def related_items(
     sets = items.select(F.col(item).alias("_item"), tag_set(F.col(tags)).alias("_set"))
     sets = sets.where(F.size("_set") > 0)
     # One more than m, as an item finds itself as well.
-    listers = stored(_first_members(sets, m + 1), "tag-sets")
+    listers = stored(first_members(sets, m + 1), "tag-sets")
     supports = stored(_supports(listers).where(F.col("_support") > 1), "tag-supports")
     ordered = _in_order(listers, supports).withColumn("_size", F.size("_set"))
     # Two sets as similar as min_sim share at least that part of the larger one.
@@ -286,6 +286,14 @@ def related_items(
             .where(F.col("similarity") >= min_sim)
         )
     candidates = _union(found).groupBy("_set", "_item").agg(F.max("similarity").alias("similarity"))
+    return best_others(sets, candidates, m, item)
+
+
+def best_others(sets: DataFrame, candidates: DataFrame, m: int, item: str) -> DataFrame:
+    """Per item of ``sets`` the best ``m`` candidates of its set but for itself, ties by item.
+
+    ``candidates`` are ``(_set, _item, similarity)``, an item once per set, and have the ``m + 1`` best.
+    """
     order = [F.col("similarity").desc(), F.col("_item").asc()]
     best = (
         ranking_by_group(candidates, "_set", order, m + 1)

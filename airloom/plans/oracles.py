@@ -323,6 +323,17 @@ SELECT item_id, row_number() OVER (
          PARTITION BY item_id ORDER BY similarity DESC, related_item_id) AS rank,
        related_item_id, similarity
 FROM pairs WHERE similarity >= 0.4 QUALIFY rank <= 5
+""",
+    "similar_items": f"""
+WITH items AS (SELECT p_partkey AS item_id, {_TAGS} AS tags FROM part),
+     tagged AS (SELECT item_id, len(tags) AS n, unnest(tags) AS tag FROM items),
+     pairs AS (SELECT a.item_id, count(*) / (a.n + b.n - count(*)) AS similarity
+               FROM tagged a JOIN tagged b USING (tag)
+               WHERE a.item_id <> b.item_id
+               GROUP BY a.item_id, b.item_id, a.n, b.n),
+     alike AS (SELECT least(count(*), 5) AS n FROM pairs WHERE similarity >= 0.4 GROUP BY item_id)
+SELECT rank, count(*) AS links, TRUE AS reached
+FROM (SELECT unnest(generate_series(1, n)) AS rank FROM alike) GROUP BY 1
 """,
     "linked_programs": """
 WITH links AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, p_name

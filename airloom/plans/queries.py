@@ -331,6 +331,19 @@ def related_items(spark, folder):
     return ops.related_items(items, 5, 0.4)
 
 
+@query
+def similar_items(spark, folder):
+    """Per rank the links of the exact form, and whether 9 of 10 are as similar in the other one."""
+    items = std.programs(spark, folder).select(F.col("program_id").alias("item_id"), "tags")
+    exact = ops.related_items(items, 5, 0.4).select("item_id", "rank", "similarity")
+    found = ops.similar_items(items, 5, 0.4).select("item_id", "rank", F.col("similarity").alias("found"))
+    met = exact.join(found, ["item_id", "rank"], "left").groupBy("rank")
+    return met.agg(
+        F.count(F.lit(1)).alias("links"),
+        (10 * F.count_if(F.col("found") == F.col("similarity")) >= 9 * F.count(F.lit(1))).alias("reached"),
+    )
+
+
 @query
 def linked_programs(spark, folder):
     linked = ops.linked_programs(
