@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from airloom.llm.common import written
 
-ROUNDS = 60
-
 
 def connected_components(links: DataFrame, source: str = "a", target: str = "b") -> DataFrame:
     """``(node, component)`` for every linked node; the component is its smallest node.
 
     Rounds of large and small stars: every node links its larger neighbours, then itself and its
     smaller ones, to the smallest node it knows. When nothing changes, each node is linked to its
-    component and to nothing else. Takes about log(nodes) rounds, none with more links than at
-    the start. A round reads and writes tables in the shared folder, so that no lineage grows,
+    component and to nothing else. Goes on until then, for about log(nodes) rounds, none with more
+    links than at the start. A round reads and writes tables in the shared folder, so that no lineage grows,
     and nothing but a count and a checksum comes to the driver. The smallest neighbour is
     aggregated before the shuffle, and joined between two plain tables, which Spark splits
     where a node has very many links. Links with NULL and of a node to itself do nothing.
@@ -27,9 +25,7 @@ def connected_components(links: DataFrame, source: str = "a", target: str = "b")
     )
     edges = written(ordered.distinct(), "links")
     before = _state(edges)
-    for _ in range(ROUNDS):
-        if before[0] == 0:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, F.col("v") > F.col("u"))
         small = _star(large, F.lit(True))
@@ -38,8 +34,6 @@ def connected_components(links: DataFrame, source: str = "a", target: str = "b")
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
