@@ -85,9 +85,12 @@ def _anchors(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def _texts(content: DataFrame, content_id: str, script: str, words: int) -> DataFrame:
-    """``(content_id, key, n_words, line, start, end, anchors)`` of the scripts with a window."""
+    """``(content_id, print, key, n_words, line, start, end, anchors)`` of the scripts with a window.
+
+    ``print`` is Spark's hash of the text as it is, ``key`` that of its words.
+    """
     kind = content.select(content_id).schema[0].dataType.simpleString()
-    names = ["content_id", "key", "n_words", "line", "start", "end", "anchors"]
+    names = ["content_id", "print", "key", "n_words", "line", "start", "end", "anchors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,6 +112,7 @@ def _texts(content: DataFrame, content_id: str, script: str, words: int) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(columns[0], pa.int64())),
+                        batch.column(2).take(pa.array(columns[0], pa.int64())),
                         pa.array(columns[1], pa.int64()),
                         pa.array(columns[2], pa.int32()),
                         pa.array(columns[3], pa.int32()),
@@ -119,9 +123,10 @@ def _texts(content: DataFrame, content_id: str, script: str, words: int) -> Data
                     names,
                 )
 
-    return content.select(F.col(content_id), F.col(script).cast("string")).mapInArrow(
+    text = F.col(script).cast("string")
+    return content.select(F.col(content_id), text, F.xxhash64(text)).mapInArrow(
         run,
-        f"content_id {kind}, key bigint, n_words int, line int, start bigint, end bigint, "
+        f"content_id {kind}, print bigint, key bigint, n_words int, line int, start bigint, end bigint, "
         "anchors array<bigint>",
     )
 
@@ -216,28 +221,26 @@ def repeated_passages(
     )
     single = written(
         first_rows.groupBy("content_id", "key", "n").agg(
-            F.min("anchors").alias("anchors"), F.count(F.lit(1)).alias("rows")
+            F.min("print").alias("print"), F.min("anchors").alias("anchors"), F.count(F.lit(1)).alias("rows")
         ),
         "passage-single",
     )
-    anchors = single.select("content_id", "key", "n", F.explode("anchors").alias("anchor"))
+    anchors = single.select("content_id", "print", "key", "n", F.explode("anchors").alias("anchor"))
     often = written(
         anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor"),
         "passage-anchors",
     )
     wanted = written(
         anchors.join(often, "anchor", "left_semi")
-        .groupBy("content_id", "key", "n")
+        .groupBy("content_id", "print", "key", "n")
         .agg(F.collect_set("anchor").alias("anchors")),
         "passage-wanted",
     )
-    source = content.select(F.col(content_id).alias("_id"), F.col(script).cast("string").alias("_text"))
-    found = _windows(
-        source.join(wanted, source["_id"].eqNullSafe(wanted["content_id"])).select(
-            "content_id", "_text", "key", "n", "anchors"
-        ),
-        words,
-    )
+    text = F.col(script).cast("string")
+    source = content.select(F.col(content_id).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_print"))
+    # Texts under one id, or none, are told apart by their hash, so each meets its own row only.
+    same = source["_id"].eqNullSafe(wanted["content_id"]) & (source["_print"] == wanted["print"])
+    found = _windows(source.join(wanted, same).select("content_id", "_text", "key", "n", "anchors"), words)
     if not is_empty(single.where("rows > 1")):
         found = found.distinct()
     found = written(found, "passage-windows")
