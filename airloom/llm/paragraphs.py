@@ -173,43 +173,64 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     )
 
 
-def _prefix_pairs(sets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different classes that share one of their rarest shingles.
-
-    Two sets of similarity s share one of the first n - ceil(s n) + 1 shingles of each, in any
-    common order; the rarest come first here, so that what many paragraphs share is looked at last.
+def _difference_pairs(sets: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different classes under one centre that may be similar enough.
+
+    ``placed`` has ``(key, centre, class)``. What a text and its centre do not share is the text's
+    difference. Two texts differ in what stands in just one of their differences, and at similarity
+    s in at most (1 - s) / (1 + s) of their sizes' sum. So their differences must share a number of
+    shingles that grows with how far both are from the centre, and then share one of the first few,
+    in any common order. The rarest come first, so edits that no other text has use up
+    these places. Two texts whose differences need not share anything are both linked to the centre.
     """
+    centres = written(
+        sets.join(placed.select(F.col("centre").alias("key")).distinct(), "key", "left_semi").select(
+            F.col("key").alias("centre"), F.col("shingles").alias("middle")
+        ),
+        "paragraph-middles",
+    )
+    apart = F.array_union(F.array_except("shingles", "middle"), F.array_except("middle", "shingles"))
+    differences = written(
+        placed.join(sets, "key")
+        .join(centres, "centre")
+        .select("centre", "key", "class", F.size("shingles").alias("size"), apart.alias("apart")),
+        "paragraph-differences",
+    )
+    single = differences.select("centre", "key", "class", "size", F.explode("apart").alias("shingle"))
     counts = written(
-        sets.select(F.explode("shingles").alias("shingle"))
-        .groupBy("shingle")
-        .agg(F.count(F.lit(1)).alias("n")),
+        single.groupBy("centre", "shingle").agg(
+            F.count(F.lit(1)).alias("n"), (F.min("class") < F.max("class")).alias("mixed")
+        ),
         "paragraph-shingles",
     )
-    size = F.size("ordered")
-    length = size - F.ceil(F.lit(similarity) * size - F.lit(1e-9)).cast("int") + 1
+    length = F.floor(F.col("size") * ((1 - similarity) / similarity) + F.lit(1e-9)).cast("int") + 1
     prefixes = written(
-        sets.select("key", F.explode("shingles").alias("shingle"))
-        .join(counts, "shingle")
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ordered"))
-        .select("key", size.alias("size"), F.explode(F.slice("ordered", F.lit(1), length)).alias("o"))
-        .where(F.col("o.n") > 1)
-        .join(classes, "key", "left")
+        single.join(counts, ["centre", "shingle"])
+        .groupBy("centre", "key", "class", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "mixed"))).alias("ordered"))
         .select(
-            "key", "size", F.col("o.shingle").alias("shingle"),
-            F.coalesce("class", "key").alias("class"),
-        ),
+            "centre", "key", "class", "size", F.size("ordered").alias("apart"),
+            F.posexplode(F.slice("ordered", F.lit(1), length)).alias("place", "o"),
+        )
+        .where("o.mixed")
+        .select("centre", "key", "class", "size", "apart", "place", F.col("o.shingle").alias("shingle")),
         "paragraph-prefixes",
     )
-    other = prefixes.select(
-        "shingle", F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("class").alias("class_b")
+    left, right = (
+        prefixes.select(
+            "centre", "shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "class", "size", "apart", "place"))
+        )
+        for side in "ab"
     )
-    near = F.least("size", "size_b") >= F.lit(similarity) * F.greatest("size", "size_b") - F.lit(1e-9)
+    size, other = F.col("size_a"), F.col("size_b")
+    near = F.least(size, other) >= F.lit(similarity) * F.greatest(size, other) - F.lit(1e-9)
+    most = (size + other) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-9)
+    shared = (F.col("apart_a") + F.col("apart_b") - most) / 2
+    early = (F.col("place_a") <= F.col("apart_a") - shared) & (F.col("place_b") <= F.col("apart_b") - shared)
     return (
-        prefixes.withColumnRenamed("key", "a")
-        .join(other, "shingle")
-        .where((F.col("a") < F.col("b")) & (F.col("class") != F.col("class_b")) & near)
-        .select("a", "b")
+        left.join(right, ["centre", "shingle"])
+        .where((F.col("key_a") < F.col("key_b")) & (F.col("class_a") != F.col("class_b")) & near & early)
+        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
         .distinct()
     )
 
@@ -281,14 +302,12 @@ def linked(
         "paragraph-mixed",
     )
     if not mixed.isEmpty():
-        open_keys = written(
-            members.join(mixed, "band", "left_semi").select("key").distinct(), "paragraph-open"
+        placed = written(
+            crowded.join(mixed, "band", "left_semi").join(centres, "band").select("key", "centre", "class").distinct(),
+            "paragraph-placed",
         )
-        open_sets = written(sets.join(open_keys, "key", "left_semi"), "paragraph-open-sets")
         further = _verified(
-            written(_prefix_pairs(open_sets, classes, similarity), "paragraph-further"),
-            open_sets,
-            similarity,
+            written(_difference_pairs(sets, placed, similarity), "paragraph-further"), sets, similarity
         )
         classes = written(
             connected_components(links.unionByName(further)), "paragraph-classes"
@@ -314,9 +333,10 @@ def repeated_paragraphs(
     ``similarity`` or more, and classes are the components of that relation. Equal texts are one
     text from the start. Texts meet in MinHash bands, with as many rows per band as still find a
     pair at the threshold with probability 0.999. Bands with up to ``paired`` texts are compared
-    pair by pair. The texts of fuller bands are compared with the one of them that meets most; once that has
-    made classes, texts of bands that still hold several classes are joined on their rarest
-    shingles, across classes only, which finds every remaining link without all pairs.
+    pair by pair. The texts of fuller bands are compared with the one of them that meets most, their
+    centre. Once that has made classes, texts of bands that still hold several are joined on the rarest
+    shingles in which they differ from the centre, across classes only, which finds every remaining
+    link without all pairs (:func:`_difference_pairs`).
 
     Rows that repeat an id and paragraph are one paragraph; NULL ids are ids in order before
     others. NULL and empty scripts have no paragraphs. Other columns are left out.

@@ -321,6 +321,34 @@ def test_paragraph_classes_equal_brute_force(spark, paired):
         assert cleaned[id_] == (kept if text is not None else None)
 
 
+def test_groups_around_the_threshold_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for group in range(3):
+        base = words(rng, 100, 10**6)
+        spots = rng.sample(range(100), 12)
+        for i in range(60):
+            copy = list(base)
+            # Few places and two new words each, so that copies also share their edits; the middle is not there.
+            for spot in rng.sample(spots, rng.randrange(2, 7)):
+                copy[spot] = f"new{spot}-{rng.randrange(2)}" if rng.random() < 0.7 else f"own{rng.randrange(10**9)}"
+            if group == 2:
+                copy = copy[rng.randrange(12) : 100 - rng.randrange(12)]
+            rows.append((group * 100 + i, " ".join(copy)))
+    compared, verified = [], paragraphs._verified
+
+    def counted(pairs, sets, similarity):
+        compared.append(pairs.count())
+        return verified(pairs, sets, similarity)
+
+    monkeypatch.setattr(paragraphs, "_verified", counted)
+    content = spark.createDataFrame(rows, "content_id long, script string")
+    found = paragraphs.repeated_paragraphs(content, paired=3).collect()
+    got = {(r.content_id, r.paragraph): (r.class_content_id, r.class_paragraph) for r in found}
+    assert got == plain_classes(rows)
+    assert len(compared) == 2 and sum(compared) < 3 * 60 * 59 / 2
+
+
 def test_bands_are_tuned_for_recall():
     rows = paragraphs.band_rows(0.8, paragraphs.HASHES, 0.999)
     assert rows == 3 and 1 - (1 - 0.8**rows) ** (paragraphs.HASHES // rows) >= 0.999
@@ -406,6 +434,26 @@ def test_passages_equal_brute_force(spark):
         assert kept == (None if text is None else cleaned[id_].split())
 
 
+def test_passages_without_ids_meet_their_own_text_only(spark, monkeypatch):
+    rng = random.Random(3)
+    shared = words(rng, 60, 10**6)
+    rows = [(None, " ".join(words(rng, 5, 10**6) + shared + words(rng, 5, 10**6))) for _ in range(40)]
+    rows += [(None, rows[0][1])] * 3 + [(1, rows[1][1]), (1, rows[2][1]), (1, "  " + rows[2][1].upper())]
+    listed, windows = [], passages._windows
+
+    def counted(wanted, n):
+        listed.append(wanted.count())
+        return windows(wanted, n)
+
+    monkeypatch.setattr(passages, "_windows", counted)
+    content = spark.createDataFrame(rows, "content_id long, script string")
+    found = passages.repeated_passages(content).collect()
+    # Every row once, but for texts of equal words: those are one text, of its smallest id.
+    assert listed == [43]
+    first = [r for r in found if not r.removed and r.n_words >= 60]
+    assert first and all(r.class_content_id is None for r in found)
+
+
 def test_query_finds_passages_within_lines(spark, tmp_path):
     rng = random.Random(2)
     shared = words(rng, 54, 10**6)
